@@ -23,7 +23,7 @@ BLOCK_ITEMS = 4096
 BLOCK_CHARS = 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKS = re.compile(r"[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]")
+_MARKS = re.compile(r"[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 
 
 def words(text: str) -> list[str]:
@@ -140,40 +140,62 @@ class ItemIndex:
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def passages(index: ItemIndex, text: str) -> list[tuple[int, float, int, int]]:
-    """``(item, similarity, run, windows)`` of the items of which ``text`` holds a passage: the best similarity of a
-    window pair, the longest run of equal words, and how many windows of the document match."""
+#: Words fingerprinted at once; bounds the memory of a task whatever the batch.
+CHUNK_WORDS = 60_000
+
+
+def passages(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
+    """``(position of the text, item, similarity, run, windows)`` of the items of which a text holds a passage: the
+    best similarity of a window pair, the longest run of equal words, and how many windows of the text match."""
     get = index.vocabulary.get
-    ids = np.fromiter((get(w, 0) for w in words(text)), np.int64)
-    if len(ids) < WINDOW:
-        return []
-    # a window that differs from an item's in its fingerprint by RADIUS at most and in a word that no item has can't
-    # reach SIMILARITY: one foreign word is in at least one of nine shingles; those at an edge are still considered
-    known = np.concatenate(([0], np.cumsum(ids > 0)))
-    good = (known[WINDOW:] - known[:-WINDOW]) >= WINDOW - 1
-    if not good.any():
-        return []
-    # fingerprints only where such windows are, run by run
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
-    found: dict[int, list] = {}
-    for lo, hi in zip(edges[::2], edges[1::2]):
-        part = ids[lo : hi + WINDOW - 1]
-        at, win = index.near(index.fingerprint(part))
-        for a, w in zip(at.tolist(), win.tolist()):
-            n, b = int(index.owner[w]), int(index.begin[w])
-            mine, theirs = part[a : a + WINDOW], index.coded[n][b : b + WINDOW]
-            equal = bool((mine == theirs).all())
-            s = 1.0 if equal else index.similarity(mine, theirs)
-            if s < SIMILARITY:
-                continue
-            best = found.setdefault(n, [0.0, 0, set()])
-            best[0] = max(best[0], s)
-            best[2].add(int(lo) + a)
-            if equal:
-                best[1] = max(best[1], _run(ids, int(lo) + a, index.coded[n], b))
-            elif best[1] < WINDOW:
-                best[1] = max(best[1], _longest(mine, theirs))
-    return [(index.ids[n], s, run, len(at)) for n, (s, run, at) in found.items()]
+    found: dict[tuple[int, int], list] = {}
+    parts: list[np.ndarray] = []
+    origin: list[tuple[int, int, np.ndarray]] = []
+    size = 0
+    for n, text in enumerate(texts):
+        ids = np.array([get(w, 0) for w in words(text)] if text else [], np.int64)
+        if len(ids) < WINDOW:
+            continue
+        # one foreign word in the middle of a window is in five of its nine shingles, two are in more: such windows
+        # can't reach SIMILARITY, those with one foreign word (at an edge) still can
+        known = np.concatenate(([0], np.cumsum(ids > 0)))
+        good = (known[WINDOW:] - known[:-WINDOW]) >= WINDOW - 1
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
+        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            for at in range(lo, hi, CHUNK_WORDS):
+                part = ids[at : min(hi, at + CHUNK_WORDS) + WINDOW - 1]
+                parts.append(part)
+                origin.append((n, at, ids))
+                size += len(part)
+                if size >= CHUNK_WORDS:
+                    _match(index, parts, origin, found)
+                    parts, origin, size = [], [], 0
+    if parts:
+        _match(index, parts, origin, found)
+    return [(n, index.ids[i], s, run, len(at)) for (n, i), (s, run, at) in found.items()]
+
+
+def _match(index: ItemIndex, parts: list[np.ndarray], origin: list[tuple[int, int, np.ndarray]], found: dict) -> None:
+    begins = np.cumsum([0] + [len(p) for p in parts])
+    marks = index.fingerprint(np.concatenate(parts))
+    where = np.arange(len(marks))
+    part = np.searchsorted(begins, where, "right") - 1
+    inside = where + WINDOW <= begins[part + 1]  # windows over the end of a part are none of the text
+    where, part = where[inside], part[inside]
+    at, win = index.near(marks[inside])
+    for a, w in zip(at.tolist(), win.tolist()):
+        n, lo, ids = origin[part[a]]
+        begin = lo + int(where[a] - begins[part[a]])
+        i, b = int(index.owner[w]), int(index.begin[w])
+        mine, theirs = ids[begin : begin + WINDOW], index.coded[i][b : b + WINDOW]
+        equal = bool((mine == theirs).all())
+        s = 1.0 if equal else index.similarity(mine, theirs)
+        if s < SIMILARITY:
+            continue
+        best = found.setdefault((n, i), [0.0, 0, set()])
+        best[0] = max(best[0], s)
+        best[2].add(begin)
+        best[1] = max(best[1], _run(ids, begin, index.coded[i], b) if equal else _longest(mine, theirs))
 
 
 def _run(ids: np.ndarray, a: int, item: np.ndarray, b: int) -> int:
@@ -222,7 +244,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(d, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in passages(index.value, t)]
+                keys = b.column(0).to_pylist()
+                found = [(keys[n], *p) for n, *p in passages(index.value, b.column(1).to_pylist())]
                 cols = list(zip(*found)) if found else [()] * 5
                 types = [b.schema.field(0).type, None, pa.float64(), pa.int32(), pa.int32()]
                 item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import encode, leak, split
+from quillspark.llm import encode, leak, lookalike, split
 from quillspark.shared import table
 
 
@@ -19,6 +19,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).select("chunk_id").distinct()
 
 
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent_forms(table(spark, d, "chunks")).select("chunk_id", "heading_form", "text_form")
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look(lookalike.consistent_forms(table(spark, d, "chunks")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_look_pairs(p6_classes(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
@@ -36,7 +48,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_pieces": p5_pieces, "p5_found": p5_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_leaks": p9_leaks, "p9_found": p9_found}
+    return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -61,7 +61,7 @@ def bisect_text(text: str, limit: int = 2000, overlap: int = 200) -> list[tuple[
             import unicodedata
 
             cut = mid
-            while cut > a + quarter and (unicodedata.combining(text[cut]) or text[cut] in "‍️"):
+            while cut > a + quarter and (unicodedata.combining(text[cut]) or text[cut] in "\u200d\ufe0f"):
                 cut -= 1
         todo += [(cut, b), (a, cut)]
     pieces = []
