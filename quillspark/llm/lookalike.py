@@ -33,7 +33,7 @@ _INVISIBLE = re.compile(
 )
 _WIDE = re.compile("[\ufb00-\ufb06\uff01-\uffee\u3000ĿŀŉĲĳſ]")
 _SPACE = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
-_FOREIGN = re.compile("[^\\W\\d_]*[\u0370-\u03ff\u0400-\u052f][^\\W\\d_]*")
+_FOREIGN = re.compile("[^\\W_]*[\u0370-\u03ff\u0400-\u052f][^\\W_]*")
 
 
 def fold(text: str) -> str:

@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import encode, leak, lookalike, split
+from quillspark.llm import encode, leak, lookalike, permindex, split
 from quillspark.shared import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return permindex.similar_pairs(*permindex.similar_classes(table(spark, d, "chunks"), 0.95))
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return permindex.similar_classes(table(spark, d, "chunks"), 0.95)[1]
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks")
+    return permindex.nearest(chunks, chunks.where("chunk_id % 50 = 0"), 10)
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"))
 
