@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import encode, leak, lookalike, permindex, split
+from quillspark.llm import canonical, encode, leak, lookalike, permindex, split
 from quillspark.shared import table
 
 
@@ -44,6 +44,24 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(p6_classes(spark, d))
 
 
+def p7_mapped(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda name: table(spark, d, name)
+    lists = {
+        "herb_name": canonical.herb_names(t("herbs"), t("herb_aliases")),
+        "top_condition": canonical.condition_names(t("medical_conditions"), t("medical_condition_synonyms")),
+    }
+    return canonical.map_messages(t("message_classifications"), lists)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_mapped(spark, d).select("message_id", "field", "ref_id").distinct()
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The report of values that name no entry, with the number of messages."""
+    return p7_mapped(spark, d).where("ref_id = 0").groupBy("field", "value").agg(F.countDistinct("message_id").alias("messages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"))
 
