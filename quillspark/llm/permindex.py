@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.shared import materialize
+from quillspark.shared import bounded_sample, materialize
 
 #: Pivots are a sample of the vectors, ``PIVOTS_PER_ROOT`` times the square root of their number within these bounds:
 #: then the number of pivot pairs, hence of posting lists, grows as the number of vectors.
@@ -60,7 +60,7 @@ def order_prefix(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 def choose_pivots(df: DataFrame, id_col: str, vec_col: str, count: int) -> np.ndarray:
     """``count`` distinct vectors picked by the hash of their id: the same whatever the partitioning."""
-    rows = df.where(F.col(vec_col).isNotNull()).select(vec_col, F.xxhash64(F.col(id_col)).alias("h")).orderBy("h").limit(2 * count).collect()
+    rows = bounded_sample(df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, 2 * count).select(vec_col).collect()
     if not rows:
         return np.empty((0, 0), np.float32)
     _, x = unit_rows(pa.array([r[0] for r in rows], pa.list_(pa.float64())))

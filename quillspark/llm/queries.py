@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encode, leak, lookalike, permindex, split
+from quillspark.llm import canonical, encode, leak, lookalike, permindex, split, subjects
 from quillspark.shared import table
 
 
@@ -78,6 +78,22 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).where(F.col("longest_run") >= leak.WINDOW).select("doc_id", "item_id").distinct()
 
 
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_shares(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(p10_shares(spark, d)).select("doc_id", "subject_id").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and words of each area: the composition of the corpus."""
+    areas = subjects.subject_areas(p10_shares(spark, d))
+    by = areas.groupBy("subject_id").agg(F.countDistinct("doc_id").alias("documents"), F.sum(F.col("share") * F.col("body_words")).cast("long").alias("words"))
+    names = table(spark, d, "subject_areas").select("subject_id", "name")
+    return names.join(by, "subject_id", "left").na.fill(0, ["documents", "words"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
