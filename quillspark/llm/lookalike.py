@@ -50,6 +50,11 @@ def _script(ch: str) -> str:
     return "greek" if "\u0370" <= ch <= "\u03ff" else "cyrillic" if "\u0400" <= ch <= "\u052f" else "latin"
 
 
+def _latin(token: str) -> str:
+    """Letter by letter, with the accents a letter carries: a Cyrillic a with a breve becomes a Latin one."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(_TO_LATIN))
+
+
 def repair_candidate(token: str) -> str | None:
     """The token in its dominant script, or None where that changes nothing or can't be done letter by letter. Among
     equally frequent scripts Latin counts as dominant. A token wholly of letters drawn like Latin ones is offered in
@@ -58,10 +63,10 @@ def repair_candidate(token: str) -> str | None:
     for ch in token:
         counts[_script(ch)] = counts.get(_script(ch), 0) + 1
     if len(counts) == 1:
-        out = token.translate(_TO_LATIN)
+        out = _latin(token)
         return out if out != token and all(_script(c) == "latin" for c in out) else None
     main = max(counts, key=lambda s: (counts[s], s == "latin"))
-    latin = token.translate(_TO_LATIN)
+    latin = _latin(token)
     if main != "latin" and not all(_script(c) == "latin" for c in latin):
         out = token.translate(_TO_CYRILLIC if main == "cyrillic" else _TO_GREEK)
         return out if len({_script(c) for c in out}) == 1 else None

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encode, leak, lookalike, permindex, split, subjects
+from quillspark.llm import canonical, encode, leak, lookalike, ocr, permindex, split, subjects
 from quillspark.shared import table
 
 
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repair_scans(table(spark, d, "chunks")).select("chunk_id", "heading", "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.defects(ocr.repair_scans(table(spark, d, "chunks")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return permindex.similar_pairs(*permindex.similar_classes(table(spark, d, "chunks"), 0.95))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.lookalike import fold
+from quillspark.llm.lookalike import LATIN_LIKE
 from quillspark.shared import bounded_sample, materialize
 
 #: Labelled documents the rules are mined from at most, picked by the hash of their id.
@@ -24,12 +24,13 @@ MINED_WORDS = 6
 LEAST_SHARE = 1 / 6
 LEAST_WORDS = 20
 
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n[ \t]*\n\s*|\n(?=[ \t]*(?:[-*+•|>]|\d+[.)]\s))")
+_SENTENCE = re.compile(r"[.!?][\"')\]]*\s+|\n\s*\n\s*|\n(?=[ \t]*(?:[-*+>|]|\d+[.)]\s))")
 _WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"^[^\W\d_]{2,}$")
 _HEADING = re.compile(r"^[ \t]{0,3}#{1,6}(?:[ \t].*|)$", re.M)
 _BROKEN = re.compile("(?<=[^\\W\\d_])[-\u00ad\u2010\u00ac]\n[ \t]*(?=[^\\W\\d_])")
-_MARKS = re.compile("[\u0300-\u036f]")
+_FOREIGN = re.compile("[\u0370-\u052f]")
+_LATIN = str.maketrans(LATIN_LIKE)
 
 
 def body(text: str) -> str:
@@ -39,12 +40,13 @@ def body(text: str) -> str:
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence of a body, without case and accents; list items, table rows and paragraphs end
-    sentences too. Words broken at a line end are joined."""
+    sentences too. Words broken at a line end are joined; letters that no accent or look-alike leads to ASCII are left out."""
+    text = _BROKEN.sub("", text)
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", fold(_BROKEN.sub("", text))))
-    else:
-        text = _BROKEN.sub("", text)
-    return [ws for s in _SENTENCE.split(text.casefold()) if (ws := _WORD.findall(s))]
+        if _FOREIGN.search(text):
+            text = text.translate(_LATIN)
+        text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+    return [ws for s in _SENTENCE.split(text.lower()) if (ws := _WORD.findall(s))]
 
 
 def _training(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
