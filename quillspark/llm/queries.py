@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import canonical, encode, leak, lookalike, ocr, permindex, split, subjects
+from quillspark.llm import align, canonical, encode, leak, lookalike, ocr, permindex, split, subjects
 from quillspark.shared import table
 
 
@@ -32,6 +32,14 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return permindex.nearest(chunks, chunks.where("chunk_id % 50 = 0"), 10)
 
 
+def p4_aligned(spark: SparkSession, d: str) -> DataFrame:
+    return align.align_sentences(table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_aligned(spark, d).select("chunk_id_a", "sentence_a", "chunk_id_b", "sentence_b")
+
+
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_oversized(table(spark, d, "chunks"))
 
