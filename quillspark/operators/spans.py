@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.shared import sequential
+
 
 def sweep(spans: DataFrame, id_col: str = "id", first: str = "product", second: str = "condition") -> DataFrame:
     """``(id, begin, finish, kind)``: overlapping spans (``begin, finish, kind``) resolved, ``first`` winning where both
@@ -72,22 +74,28 @@ def scope_at(points: DataFrame, scopes: DataFrame, id_col: str = "id", point: st
     return a.unionByName(b).withColumn("_s", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(id_col, F.col("_at").alias(point), F.col("_s").alias("scope"))
 
 
-def pick_spans(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Non-overlapping spans in order of priority, then length, then place."""
-    pdf = pdf.assign(_len=pdf["finish"] - pdf["begin"]).sort_values(["priority", "_len", "begin"], ascending=[True, False, True], kind="stable")
-    taken: list[tuple[int, int]] = []
-    keep = []
-    for b, f in zip(pdf["begin"], pdf["finish"]):
-        free = f > b and all(f <= x or b >= y for x, y in taken)
-        keep.append(free)
-        if free:
-            taken.append((b, f))
-    return pdf[keep].drop(columns="_len").sort_values("begin")
+class _Taken:
+    """Disjoint spans kept sorted, so that a new one is compared with its two neighbours only."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, b: int, f: int) -> bool:
+        k = bisect_right(self.begins, b)
+        if f <= b or (k and self.ends[k - 1] > b) or (k < len(self.begins) and self.begins[k] < f):
+            return False
+        self.begins.insert(k, b)
+        self.ends.insert(k, f)
+        return True
 
 
 def non_overlapping(spans: DataFrame, id_col: str = "id") -> DataFrame:
-    """Greedy choice of spans (``begin, finish, priority``) within each text; each choice depends on those before."""
-    return spans.groupBy(id_col).applyInPandas(pick_spans, spans.schema)
+    """Greedy choice of spans (``begin, finish, priority``) within each text, by priority, then length, then place; each
+    choice depends on those before. Empty and null spans are left out."""
+    ok = spans.where("finish > begin").withColumn("_len", F.col("begin") - F.col("finish"))
+    picked = sequential(ok, [id_col], ["priority", "_len", "begin", "finish"], _Taken, lambda s, r: s.add(r["begin"], r["finish"]), "_kept", "boolean")
+    return picked.where("_kept").drop("_kept", "_len")
 
 
 def pack(sizes: Iterator[int], limit: int) -> list[int]:
@@ -103,14 +111,18 @@ def pack(sizes: Iterator[int], limit: int) -> list[int]:
     return out
 
 
-def pack_batches(df: DataFrame, group: str, order: Sequence[Column], size: str, limit: int) -> DataFrame:
-    """Adds ``batch``: first fit in order within each group. Sequential by nature; groups are separate tasks."""
-    w = W.partitionBy(group).orderBy(*order)
-    numbered = df.withColumn("_o", F.row_number().over(w))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", batch int"
+def pack_batches(df: DataFrame, group: str, order: Sequence[str], size: str, limit: int) -> DataFrame:
+    """Adds ``batch``: first fit in order within each group; null sizes count 0. Sequential by nature; the groups are
+    streamed over, whatever their number and size."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_o").drop(columns="_o")
-        return pdf.assign(batch=pack(pdf[size].fillna(0).astype(int), limit))
+    def step(state: list[int], row: dict) -> int:
+        s = int(row[size] or 0)
+        if state[1] and state[1] + s > limit:
+            state[0], state[1] = state[0] + 1, 0
+        batch = state[0]
+        state[1] += s
+        if s > limit:
+            state[0], state[1] = batch + 1, 0
+        return batch
 
-    return numbered.groupBy(group).applyInPandas(run, schema)
+    return sequential(df, [group], list(order), lambda: [0, 0], step, "batch", "int")

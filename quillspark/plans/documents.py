@@ -99,7 +99,7 @@ def greedy_spans(spark, d):
 
 def batch_packing(spark, d):
     c = table(spark, d, "chunks").select("chunk_id", "source_relative_path", F.octet_length("text").alias("size"))
-    return spans.pack_batches(c, "source_relative_path", [F.asc("chunk_id")], "size", 2000)
+    return spans.pack_batches(c, "source_relative_path", ["chunk_id"], "size", 2000)
 
 
 def token_budget_prefix(spark, d):

@@ -56,3 +56,30 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     share = min(1.0, (most + 6 * most**0.5 + 16) / n)
     picked = df.where(F.pmod(F.xxhash64(key), F.lit(buckets)) < int(share * buckets) + 1)
     return picked.orderBy(F.pmod(F.xxhash64(key), F.lit(buckets)), key).limit(most)
+
+
+def sequential(df: DataFrame, keys: list[str], order: list, start, step, column: str, kind: str) -> DataFrame:
+    """Adds ``column``: ``step(state, row)`` for each row of a key in ``order``, with a state made by ``start()`` at the
+    first row of each key. For operators whose every result depends on the one before.
+
+    One shuffle by key and a sort that may spill; the tasks stream over their rows with the state of one key at a time,
+    so neither many small keys nor one large key is collected."""
+    import pyarrow as pa
+
+    names = df.columns
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    at = [names.index(k) for k in keys]
+
+    def run(batches):
+        key, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                now = tuple(row[i] for i in at)
+                if state is None or now != key:
+                    key, state = now, start()
+                out.append(step(state, dict(zip(names, row))))
+            yield b.append_column(column, pa.array(out, pa.bool_() if kind == "boolean" else pa.int32() if kind == "int" else pa.int64()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{column}` {kind}"
+    return placed.mapInArrow(run, schema)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.shared import sequential
+
 #: A key admits so many events in a sliding window of so many seconds; idle keys are dropped after twice that.
 LIMIT, WINDOW_SECONDS = 5, 60
 #: A session ends after so many idle seconds, or at this age.
@@ -36,19 +38,10 @@ def admit(times: list[float], limit: int = LIMIT, window: float = WINDOW_SECONDS
 
 
 def rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int = LIMIT, window: int = WINDOW_SECONDS) -> DataFrame:
-    """``(key, order, admitted)`` of a batch: each key is one sequential run, ties in time by ``order``. A key with a
-    gap of ``window`` seconds begins anew there, so a hot key is cut at its gaps into groups of their own."""
-    w = W.partitionBy(key).orderBy(time, order)
-    seconds = micros(time) / 1e6
-    cut = F.coalesce((seconds - F.lag(seconds).over(w) >= window).cast("int"), F.lit(1))
-    runs = events.where(F.col(time).isNotNull()).select(key, order, seconds.alias("_t"), time, cut.alias("_c")).withColumn("_run", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", order], kind="stable")
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "admitted": admit(pdf["_t"].tolist(), limit, window)[0]})
-
-    return runs.drop(time, "_c").groupBy(key, "_run").applyInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, admitted boolean")
+    """``(key, order, admitted)`` of a batch: each key is one sequential run, ties in time by ``order``. Keys are
+    streamed over with the times of one window as state, so a hot key costs memory for its window only."""
+    own = events.where(F.col(time).isNotNull()).select(key, order, (micros(time) / 1e6).alias("_t"))
+    return sequential(own, [key], ["_t", order], deque, lambda kept, row: admit([row["_t"]], limit, window, kept)[0][0], "admitted", "boolean").drop("_t")
 
 
 def rate_limit_stream(events: DataFrame, key: str, time: str, order: str, limit: int = LIMIT, window: int = WINDOW_SECONDS) -> DataFrame:
