@@ -44,12 +44,13 @@ def rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int =
     return sequential(own, [key], ["_t", order], deque, lambda kept, row: admit([row["_t"]], limit, window, kept)[0][0], "admitted", "boolean").drop("_t")
 
 
-def rate_limit_stream(events: DataFrame, key: str, time: str, order: str, limit: int = LIMIT, window: int = WINDOW_SECONDS) -> DataFrame:
-    """The same over a stream: the admitted times of a key are its state, dropped when the key is idle for two windows."""
+def rate_limit_stream(events: DataFrame, key: str, time: str, order: str, limit: int = LIMIT, window: int = WINDOW_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream: the admitted times of a key are its state, dropped when by event time the key has been
+    idle for two windows."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    own = events.select(key, order, (micros(time) / 1e6).alias("_t"))
+    own = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(key, order, time, (micros(time) / 1e6).alias("_t"))
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,10 +60,10 @@ def rate_limit_stream(events: DataFrame, key: str, time: str, order: str, limit:
         pdf = pd.concat(list(batches)).sort_values(["_t", order], kind="stable")
         ok, kept = admit(pdf["_t"].tolist(), limit, window, kept)
         state.update((list(kept),))
-        state.setTimeoutDuration(2 * window * 1000)
+        state.setTimeoutTimestamp(max(int((pdf["_t"].max() + 2 * window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: pdf[key], order: pdf[order], "admitted": ok})
 
-    return own.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return own.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, key: str, time: str, idle: int = IDLE_SECONDS, age: int = AGE_SECONDS) -> DataFrame:
