@@ -75,10 +75,10 @@ class VersionedTarget:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def version(self) -> str | None:
-        p = self._path("_current.json")
+        p = self._path("current.json")
         if not self._fs.exists(p):
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/_current.json", wholetext=True).first()[0])["version"]
+        return json.loads(self.spark.read.text(f"{self.root}/current.json", wholetext=True).first()[0])["version"]
 
     def current(self, schema) -> DataFrame:
         v = self.version()
@@ -89,7 +89,7 @@ class VersionedTarget:
         df.write.parquet(f"{self.root}/{new}")
         if self.version() != based_on:
             raise RuntimeError("another run published in between")
-        tmp = self._path(f"_pointer-{new}")
+        tmp = self._path(f"pointer-{new}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps({"version": new}).encode()))
         out.close()
@@ -97,7 +97,7 @@ class VersionedTarget:
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jvm.java.net.URI(self.root), self.spark._jsc.hadoopConfiguration())
         arr = self.spark.sparkContext._gateway.new_array(options, 1)
         arr[0] = options.OVERWRITE
-        context.rename(tmp, self._path("_current.json"), arr)
+        context.rename(tmp, self._path("current.json"), arr)
         return new
 
 
