@@ -33,7 +33,8 @@ _INVISIBLE = re.compile(
 )
 _WIDE = re.compile("[\ufb00-\ufb06\uff01-\uffee\u3000ĿŀŉĲĳſ]")
 _SPACE = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
-_FOREIGN = re.compile("[^\\W_]*[\u0370-\u03ff\u0400-\u052f][^\\W_]*")
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f]")
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
@@ -102,7 +103,7 @@ def consistent_forms(df: DataFrame, id_col: str = "chunk_id", cols: tuple[str, .
             folded = [[None if t is None else fold(t) for t in b.column(1 + k).to_pylist()] for k in range(len(cols))]
             mixed = []
             for row in zip(*folded):
-                tokens = {m for t in row if t and not t.isascii() for m in _FOREIGN.findall(t)}
+                tokens = {w for t in row if t and _FOREIGN.search(t) for w in _TOKEN.findall(t) if _FOREIGN.search(w)}
                 mixed.append(sorted((m, r) for m in tokens if (r := repair_candidate(m))))
             pairs = pa.array([[{"token": a, "repair": r} for a, r in row] for row in mixed], pa.list_(pa.struct([("token", pa.string()), ("repair", pa.string())])))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(f, pa.string()) for f in folded), pairs], names=["id", *cols, *forms, "pairs"])
@@ -124,7 +125,7 @@ def consistent_forms(df: DataFrame, id_col: str = "chunk_id", cols: tuple[str, .
                     to = dict(pairs)
                     for c in out:
                         if c[row]:
-                            c[row] = _FOREIGN.sub(lambda m: to.get(m[0], m[0]), c[row])
+                            c[row] = _TOKEN.sub(lambda m: to.get(m[0], m[0]), c[row])
             yield pa.RecordBatch.from_arrays([*b.columns[: 1 + n], *(pa.array(c, pa.string()) for c in out)], names=["id", *cols, *forms])
 
     fixed = joined.where(F.col("repairs").isNotNull()).mapInArrow(second, f"id {kind}, {strings}")

@@ -28,8 +28,9 @@ CONFUSIONS = (
 )
 _READ = sorted({a for a, _ in CONFUSIONS}, key=len, reverse=True)
 _WORD = re.compile(r"[^\W_]+")
-_HYPHENS = "-­‐¬"
-_BREAK = re.compile(rf"([^\W\d_]+)([{_HYPHENS}])[ \t]*\n\s*([^\W\d_]+)")
+_HYPHENS = "-\u00ad\u2010\u00ac"
+# looked for from the hyphen, not from the word before it, so that long runs of letters cost no more than short ones
+_BREAK = re.compile("(?<=[^\\W\\d_])([-\u00ad\u2010\u00ac])[ \t]*\n\\s*(?=([^\\W\\d_]))")
 _MARKUP = re.compile(r"^\s*(?:[-*+•>|#]|\d+[.)]\s|```|~~~)")
 _END = re.compile(r"[.!?…:;][\"'”’)\]*_]*$")
 _ROMAN = re.compile(r"^(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
@@ -128,7 +129,7 @@ def title_parts(key: str) -> list[tuple[str, ...]]:
 
 
 def _tokens(text: str) -> list[str]:
-    return _WORD.findall(fold(_BREAK.sub(lambda m: m[1] + m[3], text)).lower())
+    return _WORD.findall(fold(_BREAK.sub("", text)).lower())
 
 
 def reread(word: str) -> set[str]:
@@ -166,7 +167,7 @@ def corpus_marks(df: DataFrame, cols: tuple[str, str] = ("heading", "text")) ->
             for h, t in zip(*(c.to_pylist() for c in b.columns)):
                 if h:
                     words.update(_tokens(h))
-                    for p in _HEADING_PAGE:
+                    for p in _HEADING_PAGE if len(h) < 500 else ():
                         h = m["t"] if (m := p.match(h)) else h
                     keys["h:" + line_key(h)] += 1
                 if t:
@@ -272,11 +273,10 @@ def repair_text(text: str, marks: dict[str, str]) -> tuple[str, set[str]]:
             text = "\n".join(kept)
 
     def join(m: re.Match) -> str:
-        left, hyphen, right = m[1], m[2], m[3]
-        if hyphen == "-" and not right[0].islower():
-            return f"{left}-{right}"
+        if m[1] == "-" and not m[2].islower():
+            return "-"
         defects.add("hyphenation")
-        return left + right
+        return ""
 
     text = _BREAK.sub(join, text)
     text, misread = _reread_words(text, marks)
@@ -297,7 +297,7 @@ def repair_heading(heading: str, marks: dict[str, str]) -> tuple[str, set[str]]:
     defects: set[str] = set()
     if "\n" in heading:
         heading, defects = repair_text(heading, marks)
-    for p in _HEADING_PAGE:
+    for p in _HEADING_PAGE if len(heading) < 500 else ():
         if m := p.match(heading):
             heading = m["t"].strip()
             defects.add("page_number")

@@ -58,14 +58,28 @@ def order_prefix(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def choose_pivots(df: DataFrame, id_col: str, vec_col: str, count: int) -> np.ndarray:
-    """``count`` distinct vectors picked by the hash of their id: the same whatever the partitioning."""
+def choose_pivots(df: DataFrame, id_col: str, vec_col: str, count: int, apart: float = 0.8) -> np.ndarray:
+    """Up to ``count`` vectors of a bounded sample picked by the hash of their id, no two with a cosine of ``apart`` or
+    more: a dense group gives one pivot, so that its members see the other pivots in like order instead of ranking one
+    another."""
     rows = bounded_sample(df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, 2 * count).select(vec_col).collect()
     if not rows:
         return np.empty((0, 0), np.float32)
     _, x = unit_rows(pa.array([r[0] for r in rows], pa.list_(pa.float64())))
-    _, first = np.unique(x, axis=0, return_index=True)
-    return x[np.sort(first)][:count]
+    x = np.unique(x, axis=0)[np.argsort(np.unique(x, axis=0, return_index=True)[1])]
+    kept = np.empty((0, x.shape[1] if len(x) else 0), np.float32)
+    for lo in range(0, len(x), 1024):
+        part = x[lo : lo + 1024]
+        part = part[~((part @ kept.T >= apart).any(1))] if len(kept) else part
+        near = part @ part.T >= apart
+        own: list[int] = []
+        for i in range(len(part)):
+            if not near[i, own].any():
+                own.append(i)
+        kept = np.concatenate((kept, part[own]))
+        if len(kept) >= count:
+            break
+    return kept[:count]
 
 
 def index_vectors(df: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray) -> DataFrame:
@@ -110,7 +124,7 @@ def footrule(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def depth_code(prefix: np.ndarray, slots: int = 24) -> np.ndarray:
-    """A 0/1 coding of orders whose inner product is the common part of the footrule distance: for each depth t,
+    """A coding of orders by counts whose inner product is the common part of the footrule distance: for each depth t,
     which pivots are among the first t. Pivots share ``slots`` places, so the product is at times too large and never
     too small: a bound on the distance keeps all it would keep if computed pivot by pivot."""
     n, length = prefix.shape
@@ -119,7 +133,7 @@ def depth_code(prefix: np.ndarray, slots: int = 24) -> np.ndarray:
     rows = np.arange(n)
     for i in range(length):
         for t in range(i, length):
-            out[rows, t, place[:, i]] = 1
+            out[rows, t, place[:, i]] += 1
     return out.reshape(n, -1)
 
 
