@@ -24,7 +24,7 @@ from quillspark.shared import bounded_sample, materialize
 #: then the number of pivot pairs, hence of posting lists, grows as the number of vectors.
 PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 64, 16_384
 PREFIX = 8  # pivots of an order that are kept
-POSTED = 4  # of these, each pair names a posting list the vector is put in
+POSTED = 5  # of these, each pair names a posting list the vector is put in
 HOT_LIST = 8_192  # longer posting lists are cut into blocks, and each pair of blocks is one unit of work
 
 
@@ -218,7 +218,7 @@ def cosine(a: str, b: str):
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def similar_classes(df: DataFrame, threshold: float = 0.95, id_col: str = "chunk_id", vec_col: str = "embedding", most_footrule: int = 34) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, threshold: float = 0.95, id_col: str = "chunk_id", vec_col: str = "embedding", most_footrule: int = 48) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: ``members(id, rep)`` puts each usable vector in the class of its exact copies (the
     smallest id stands for it), ``links(a, b, similarity)`` are the pairs of class representatives with a cosine of
     ``threshold`` or more, the smaller id first.
