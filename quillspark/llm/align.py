@@ -23,6 +23,8 @@ BLOCK = 400
 ROUNDS = 4
 #: Translations kept of a word, and the least association of one.
 TRANSLATIONS, LEAST_ASSOCIATION = 6, 0.12
+#: Word pairs counted by a task before it hands them on.
+HELD_COUNTS = 300_000
 #: Rows of the tables that go to every task; larger tables are joined to the documents by word.
 MOST_SHARED = 1_500_000
 #: Least score of a pair, and least share of a neighbour's content that the other sentence must cover to be merged.
@@ -171,7 +173,7 @@ def _count(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch
     """Expected counts of word pairs under the alignment that ``tables`` gives; a pair with one word null counts the
     word itself."""
     total: dict[tuple, float] = defaultdict(float)
-    for batch in batches:
+    for batch in _small(batches):
         table_of = tables(batch)
         for r, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
             _, _, score, (wa, ma, wb, mb) = match(a, b, table_of(r))
@@ -191,12 +193,19 @@ def _count(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch
             for y, v in enumerate((mb.T @ soft.sum(0)).tolist()):
                 total[None, wb[y]] += v
             total[None, None] += float(soft.sum())
-        if len(total) > 2_000_000:
-            yield _rows(total)
-            total = defaultdict(float)
+            if len(total) > HELD_COUNTS:
+                yield _rows(total)
+                total = defaultdict(float)
     yield _rows(total)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: a row holds whole blocks of sentences."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def _rows(total: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["wa", "wb", "c"])
 
@@ -265,7 +274,7 @@ def align_sentences(chunks: DataFrame, languages: tuple[str, str] = ("ro", "en")
     rows, tables = _with_tables(blocks, table, total)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             table_of = tables(batch)
             out = []
             for r, (key, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b")))):
