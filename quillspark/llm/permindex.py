@@ -25,6 +25,7 @@ from quillspark.shared import bounded_sample, materialize
 PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 64, 16_384
 PREFIX = 8  # pivots of an order that are kept
 POSTED = 5  # of these, each pair names a posting list the vector is put in
+MOST_HOT = 100_000  # names of long lists that go to every task
 HOT_LIST = 8_192  # longer posting lists are cut into blocks, and each pair of blocks is one unit of work
 
 
@@ -164,7 +165,13 @@ def candidate_pairs(reps: DataFrame, least: float, most_footrule: int) -> DataFr
     posted = reps.select(F.explode("lists").alias("list"), "id", "prefix", "packed")
     hot = reps.select(F.explode("lists").alias("list")).groupBy("list").count().where(F.col("count") > HOT_LIST)
     hot = hot.select(F.col("list").alias("_hot"), F.ceil(F.col("count") / F.lit(HOT_LIST)).cast("int").alias("_blocks"))
-    with_blocks = posted.join(hot, posted["list"] == hot["_hot"], "left").withColumn("n", F.coalesce("_blocks", F.lit(1)))
+    hot = materialize(hot, "hot-lists")
+    found = hot.count()
+    if found:  # a few names of long lists: broadcast if their number is checked to be small, else joined as they are
+        hot = F.broadcast(hot) if found <= MOST_HOT else hot
+        with_blocks = posted.join(hot, posted["list"] == hot["_hot"], "left").withColumn("n", F.coalesce("_blocks", F.lit(1)))
+    else:
+        with_blocks = posted.withColumn("n", F.lit(1))
     with_blocks = with_blocks.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     units = with_blocks.select("id", "prefix", "packed", "list", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     units = units.select(F.struct("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("unit"), "own", "id", "prefix", "packed")
