@@ -23,11 +23,12 @@ MOST_SHARED = 400_000
 
 # What scanning reads (first) and what stood there (second).
 CONFUSIONS = (
-    ("c", "e"), ("l", "i"), ("f", "t"), ("f", "ț"), ("1", "l"), ("1", "i"), ("ii", "u"), ("5", "s"), ("5", "ș"), ("0", "o"), ("à", "ă"), ("rn", "m"), ("cl", "d"), ("9", "g"), ("b", "h"),
+    ("c", "e"), ("l", "i"), ("f", "t"), ("f", "ț"), ("1", "l"), ("1", "i"), ("ii", "u"), ("5", "s"), ("5", "ș"), ("§", "ș"), ("0", "o"), ("à", "ă"), ("rn", "m"), ("cl", "d"), ("9", "g"), ("b", "h"),
     ("6", "b"), ("8", "b"), ("vv", "w"), ("á", "ă"), ("ã", "ă"),
 )
 _READ = sorted({a for a, _ in CONFUSIONS}, key=len, reverse=True)
-_WORD = re.compile(r"[^\W_]+")
+# a section sign among letters is a misread letter
+_WORD = re.compile(r"(?:[^\W_]|§)+")
 _HYPHENS = "-\u00ad\u2010\u00ac"
 # looked for from the hyphen, not from the word before it, so that long runs of letters cost no more than short ones
 _BREAK = re.compile("(?<=[^\\W\\d_])([-\u00ad\u2010\u00ac])[ \t]*\n\\s*(?=([^\\W\\d_]))")
@@ -50,7 +51,7 @@ def line_key(line: str) -> str:
     accents, each group of letters that are taken for one another as one."""
     t = unicodedata.normalize("NFKD", fold(line)).casefold()
     t = "".join(c for c in t if not unicodedata.combining(c))
-    t = " ".join(_WORD.findall(t))
+    t = " ".join(_WORD.findall(t.replace("§", "s")))
     for a, b in (("rn", "m"), ("cl", "d"), ("ii", "u")):
         t = t.replace(a, b)
     return t.translate(_KEY)
