@@ -250,9 +250,9 @@ def test_damerau_levenshtein():
 
 SCANS = [
     (1, "Fișa 3", "Acidul organic separă esterii aroma-\ntici la temperatura\nENCICLOPEDIA CASEI VERZI\ncamerei. Distilatul limpede leagă cerurile.\n\n~ 12 ~\n\nAlt rând cu-\n\nManualul culegătorului · 9\n\nvinte."),
-    (2, "Dcspre tei · 44", "Acldul organic separă esterii la temperatura camerei."), (3, None, None), (4, "", ""), (10, "§ 5", "Acidul organic § 5 conform § și separă de§pre."), (5, "Tabelul 8: tei", "- unu\n- doi\n| a | 5 |\n2024. Un an."), (6, "12 | Despre tei", "Codul B12 și pH5."),
+    (2, "Dcspre tei · 44", "Acldul organic separă esterii la temperatura camerei."), (3, None, None), (4, "", ""), (10, "§ 5", "Acidul organic § 5 conform § și stabile§te."), (5, "Tabelul 8: tei", "- unu\n- doi\n| a | 5 |\n2024. Un an."), (6, "12 | Despre tei", "Codul B12 și pH5."),
     (7, "Manualul culegătorului", "a"), (8, "Despre tei", "Despre acidul organic."), (9, "h", "x" * 50_000),
-] + [(100 + k, "Despre tei", "Acidul organic separă esterii aromatici la temperatura camerei. Cuvinte despre distilatul limpede.") for k in range(12)]
+] + [(100 + k, "Despre tei", "Acidul organic separă esterii aromatici la temperatura camerei. Cuvinte despre distilatul limpede stabilește.") for k in range(12)]
 
 
 @pytest.mark.parametrize("shared", [True, False])
@@ -265,7 +265,7 @@ def test_scan_repair(spark, monkeypatch, shared):
     d = {(r.chunk_id, r.field, r.defect) for r in ocr.defects(ocr.repair_scans(df)).collect()}
     assert d == {(1, "text", x) for x in ("hyphenation", "running_header", "page_number")} | {(2, "heading", "characters"), (2, "heading", "page_number"), (2, "text", "characters"), (6, "heading", "page_number"), (10, "text", "characters")}
     assert out[1].text == "Acidul organic separă esterii aromatici la temperatura camerei. Distilatul limpede leagă cerurile.\n\nAlt rând cuvinte."
-    assert (out[2].heading, out[2].text) == ("Despre tei", "Acidul organic separă esterii la temperatura camerei.") and out[3].text is None and out[4].text == "" and out[5].text.startswith("- unu\n- doi") and out[10].text == "Acidul organic § 5 conform § și separă despre."
+    assert (out[2].heading, out[2].text) == ("Despre tei", "Acidul organic separă esterii la temperatura camerei.") and out[3].text is None and out[4].text == "" and out[5].text.startswith("- unu\n- doi") and out[10].text == "Acidul organic § 5 conform § și stabilește."
     assert ocr.defects(ocr.repair_scans(df.limit(0))).count() == 0
 
 
