@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import vector as V
 from quillspark.functions.formula import SEARCH_DEFAULT, search_formula
 from quillspark.operators import lexical, ranking
+from quillspark.shared import materialize
 
 NO_RANK = float("inf")
 #: Characters put before a heading and its text where the evidence is shown, by language.
@@ -66,6 +67,8 @@ def cosine_ranks(pool: DataFrame, rows: int | None = None) -> DataFrame:
     """``(chunk_id, cosine, semantic)``: the rank of each cosine within the pool, and no rank (infinity) at or below the
     pool's median. Ties share a rank; unusable vectors have no cosine and no rank."""
     own = pool.where(F.col("cosine").isNotNull())
+    if rows is not None and rows > ranking.ONE_TASK_ROWS:
+        own = materialize(own.select("chunk_id", "cosine"), "cosines")  # read by the rank and by the median
     ranked = ranking.global_rank(own.select("chunk_id", "cosine"), [F.desc("cosine")], "_rank", rows)
     median = own.agg(F.percentile("cosine", 0.5).alias("_median"))
     gated = F.when(F.col("cosine") > F.col("_median"), F.col("_rank").cast("double")).otherwise(F.lit(NO_RANK))
@@ -86,25 +89,26 @@ def hybrid_search(
     told apart and are left out; an empty pool gives an empty result."""
     signals = signals.effective(conditions)
     pool = scope(chunks, language, categories).where(F.col("chunk_id").isNotNull())
+    rows = pool.count()  # of the filter columns only; tells whether ranks need more than one task
     size = evidence_size(language).alias("evidence_chars")
     p1 = overlaps("primary_medical_conditions", conditions) if signals.conditions else F.lit(0)
     p2 = overlaps("secondary_medical_conditions", conditions) if signals.conditions else F.lit(0)
     ranked = pool.select("chunk_id", p1.alias("p1"), p2.alias("p2"), size)
     if signals.lexical and terms:
         scores = lexical.bm25(pool, "chunk_id", "text", terms).withColumnRenamed("id", "chunk_id")
-        lex = ranking.global_rank(scores.withColumn("bm25", F.round("bm25", 9)), [F.desc("bm25")], "_l").select("chunk_id", F.col("_l").cast("double").alias("lexical"))
+        lex = ranking.global_rank(scores.withColumn("bm25", F.round("bm25", 9)), [F.desc("bm25")], "_l", rows).select("chunk_id", F.col("_l").cast("double").alias("lexical"))
         ranked = ranked.join(lex, "chunk_id", "left").withColumn("lexical", F.coalesce("lexical", F.lit(NO_RANK)))
     else:
         ranked = ranked.withColumn("lexical", F.lit(NO_RANK))
     if signals.semantic and vector is not None:
         q = F.array(*(F.lit(float(x)) for x in vector))
         sims = pool.select("chunk_id", F.round(V.cosine(F.col("embedding"), q), 9).alias("cosine"))
-        ranked = ranked.join(cosine_ranks(sims).drop("cosine"), "chunk_id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(NO_RANK)))
+        ranked = ranked.join(cosine_ranks(sims, rows).drop("cosine"), "chunk_id", "left").withColumn("semantic", F.coalesce("semantic", F.lit(NO_RANK)))
     else:
         ranked = ranked.withColumn("semantic", F.lit(NO_RANK))
     compiled = search_formula(formula, k)
     scored = ranked.withColumn("score", compiled.column({"P1": F.col("p1"), "P2": F.col("p2"), "L": F.col("lexical"), "V": F.col("semantic"), "K": k})).where(F.col("score") > 0)
-    kept = ranking.budget_prefix(scored, [F.desc("score"), F.asc("chunk_id")], "evidence_chars", budget)
+    kept = ranking.budget_prefix(scored, [F.desc("score"), F.asc("chunk_id")], "evidence_chars", budget, rows)
     return kept.withColumn("relevance", F.col("score") / signals.best(formula, k) * 100)
 
 
