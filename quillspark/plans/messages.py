@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import clean as C
+from quillspark.operators import display as D
 from quillspark.operators import messages as M
 from quillspark.operators import spelling
 from quillspark.shared import table
@@ -66,7 +67,40 @@ def spelled_texts(spark, d):
     return fixed.where("changes > 0").select("id", "changes")
 
 
-_NAMES = "recommendation_labels validated_answers merged_messages group_winners merged_reports top_requests deduplicated_messages typo_fixes split_fixes spelled_texts".split()
+def highlights(spark, d):
+    return D.per_row(table(spark, d, "chunks"), "chunk_id", "text", lambda t: D.highlight_ranges(t, ["acidul", "organic", "durere"]), [("begin", "int"), ("finish", "int")])
+
+
+def quotations(spark, d):
+    return D.per_row(table(spark, d, "documents"), "doc_id", "text", D.quote_spans, [("begin", "int"), ("finish", "int")])
+
+
+def translation_segments(spark, d):
+    s = D.per_row(table(spark, d, "documents"), "doc_id", "text", D.segments, [("part", "string"), ("translate", "boolean")])
+    return s.groupBy("id").agg(F.sum(F.length("part")).alias("characters"))
+
+
+def display_forms(spark, d):
+    return D.display_forms(table(spark, d, "chunks"), "text")
+
+
+def preferred_aliases(spark, d):
+    h, a = table(spark, d, "herbs"), table(spark, d, "herb_aliases")
+    names = h.select(F.col("id").alias("entity"), T.normalized("ro").alias("name"), F.when(F.col("category") == "plante", 0).otherwise(1).alias("role")).unionByName(a.select(F.col("herb_id").alias("entity"), T.normalized("name").alias("name"), F.lit(1).alias("role")))
+    return D.preferred_alias(names.withColumn("text", F.lit(1))).select("name", "entity")
+
+
+def evidence_identity(spark, d):
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    return li.select(D.identity("l_suppkey", "l_partkey").alias("identity")).groupBy("identity").agg(F.count("*").alias("n"))
+
+
+def heading_sizes(spark, d):
+    c = table(spark, d, "chunks").select(F.length("heading").alias("size"), (F.col("business_category") == "R1").alias("section")).where("size IS NOT NULL")
+    return D.size_threshold(c, "size", "section").select(F.coalesce("threshold", F.lit(-1.0)).alias("threshold"))
+
+
+_NAMES = "highlights quotations translation_segments display_forms preferred_aliases evidence_identity heading_sizes recommendation_labels validated_answers merged_messages group_winners merged_reports top_requests deduplicated_messages typo_fixes split_fixes spelled_texts".split()
 
 
 def queries():
@@ -77,6 +111,11 @@ def oracle_sql():
     w = T.words_sql
     counts = f"SELECT word, count(*) AS n FROM (SELECT unnest({w('text')}) AS word FROM chunks) GROUP BY 1"
     return {
+        "translation_segments": "SELECT doc_id AS id, length(text) AS characters FROM documents WHERE length(text) > 0",
+        "display_forms": f"SELECT plain, min(w) AS shown FROM (SELECT DISTINCT {T.plain_sql('w')} AS plain, w FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM chunks) WHERE {T.plain_sql('w')} <> w) GROUP BY 1 HAVING count(*) = 1",
+        "preferred_aliases": f"WITH m AS (SELECT id AS entity, {T.normalized_sql('ro')} AS name, CASE WHEN category = 'plante' THEN 0 ELSE 1 END AS role FROM herbs UNION ALL SELECT herb_id, {T.normalized_sql('name')}, 1 FROM herb_aliases) SELECT DISTINCT name, entity FROM m WHERE role = (SELECT min(x.role) FROM m x WHERE x.name = m.name)",
+        "evidence_identity": "SELECT sha256('{\"l_suppkey\":' || l_suppkey || ',\"l_partkey\":' || l_partkey || '}') AS identity, count(*) AS n FROM lineitem GROUP BY 1",
+        "heading_sizes": "SELECT coalesce(CASE WHEN a >= 5 AND b >= 5 AND x - y >= 1 THEN (x + y) / 2 END, -1) AS threshold FROM (SELECT count(*) FILTER (business_category = 'R1') AS a, count(*) FILTER (business_category <> 'R1') AS b, median(length(heading)) FILTER (business_category = 'R1') AS x, median(length(heading)) FILTER (business_category <> 'R1') AS y FROM chunks WHERE heading IS NOT NULL)",
         "group_winners": "SELECT l_partkey, rank, position FROM (SELECT l_partkey, l_linenumber AS rank, l_orderkey AS position, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linenumber, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END, l_orderkey) AS n FROM lineitem) WHERE n = 1",
         "merged_reports": "SELECT category_id, text, min(position) AS position, count(DISTINCT e) AS evidence FROM (SELECT category_id, chunk_id AS position, md5(coalesce(text, '')) AS text, unnest([language, business_category]) AS e FROM chunks) GROUP BY category_id, text",
         "deduplicated_messages": "SELECT message_id, session_id, printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) AS delay FROM (SELECT message_id, session_id, CAST(floor((epoch_us(received_at) - epoch_us(created_at)) / 1e6) AS BIGINT) AS s, row_number() OVER (PARTITION BY message_id ORDER BY received_at) AS n FROM message_classifications) WHERE n = 1",

@@ -89,3 +89,16 @@ def test_messages(spark):
     s = spark.createDataFrame([("Mușețel: ceai de trei ori",), ("Tei – infuzie",), ("Soc pentru tuse",), ("Mentă (2 g) pe zi",), ("fără nume",)], "t string")
     assert [(r.l, r.r) for r in s.select(label.alias("l"), rest.alias("r")).collect()] == [("Mușețel", "ceai de trei ori"), ("Tei", "infuzie"), ("Soc", "pentru tuse"), ("Mentă", "(2 g) pe zi"), ("", "fără nume")]
     assert ms.parse_top("top 10 plante") == ms.TopRequest(10, "plante") and ms.parse_top("top plante pentru tuse") is None
+
+
+def test_display():
+    from quillspark.operators import display as D
+
+    assert D.highlight_ranges("Un  CEAI\n de mușețel", ["ceai", "musetel", "de"]) == [(3, 18)] and D.highlight_ranges("", ["a"]) == []
+    text = "Propoziția unu. " * 200
+    spans = D.quote_spans(text)
+    assert "".join(text[a:b] for a, b in spans) == text and all(b - a <= 1000 and text[a:b].endswith(". ") for a, b in spans)
+    assert D.quote_spans("x" * 2500) == [(0, 1000), (1000, 2000), (2000, 2500)] and D.quote_spans("") == []
+    md = "Vezi [aici](http://x/1) și `cod` acum.\n```\nbloc\n```\nfinal"
+    parts = D.segments(md)
+    assert "".join(p for p, _ in parts) == md and [p for p, t in parts if not t] == ["[aici](http://x/1)", "`cod`", "```\nbloc\n```"]
