@@ -36,15 +36,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def content_hash(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
+def content_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(rows, digest)``: one digest of the multiset of rows, whatever their order and partitioning.
 
-    Row digests are combined within buckets and the bucket digests in order, so no task sees more than a bucket of
-    64-character digests."""
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(row.alias("r")).groupBy("r").agg(F.count("*").alias("c"))
-    per = rows.groupBy(F.substring("r", 1, 2).alias("b")).agg(F.sum("c").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "r", "c"))), ","), 256).alias("d"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+    Four independent 64-bit hashes of each row are summed exactly, so everything combines map-side and no task holds
+    more than four numbers; the digest is that of the sums and the count."""
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), row).cast("decimal(20,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
+    return df.agg(F.count("*").alias("rows"), *sums).select("rows", F.sha2(F.concat_ws(",", "rows", "s0", "s1", "s2", "s3"), 256).alias("digest"))
 
 
 def reusable(wanted: DataFrame, cache: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

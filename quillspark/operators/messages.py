@@ -134,9 +134,13 @@ def group_winners(df: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def merge_reports(items: DataFrame, report: str) -> DataFrame:
     """``(report, section, text, position, evidence)`` of ``(report, section, position, text, evidence array)``: equal
-    texts of a section are one item at the first place, with the evidence of all in order, each once."""
-    g = items.groupBy(report, "section", "text").agg(F.min("position").alias("position"), F.array_sort(F.collect_list(F.struct("position", "evidence"))).alias("e"))
-    return g.select(report, "section", "text", "position", F.array_distinct(F.flatten(F.transform("e", lambda x: x["evidence"]))).alias("evidence"))
+    texts of a section are one item at the first place, with the evidence of all in order, each once.
+    Evidence is reduced to distinct ids before it is gathered, so copies of a text add nothing to hold."""
+    keys = [report, "section", "text"]
+    one = items.select(*keys, "position", F.posexplode_outer("evidence").alias("at", "id"))
+    first = one.groupBy(*keys, "id").agg(F.min(F.struct("position", "at")).alias("first"))
+    whole = first.groupBy(*keys).agg(F.min("first.position").alias("position"), F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("first", "id")))).alias("e"))
+    return whole.select(*keys, "position", F.transform("e", lambda x: x["id"]).alias("evidence"))
 
 
 @dataclass(frozen=True)

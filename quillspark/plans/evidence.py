@@ -170,14 +170,14 @@ def document_changes(spark, d):
 
 
 def upsert(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    old, new = o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("X"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    old, new = o.where("o_orderpriority <> '1-URGENT'"), o.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("X"))
     return G.upsert(old, new, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def vector_reuse(spark, d):
     c = table(spark, d, "chunks")
-    cache = c.where("chunk_id % 2 = 0 AND embedding IS NOT NULL").select("source_relative_path", F.lower("text_sha256").alias("h"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+    cache = c.where("business_category = 'R1' AND embedding IS NOT NULL").select("source_relative_path", F.lower("text_sha256").alias("h"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
     wanted = c.select("chunk_id", "source_relative_path", F.lower("text_sha256").alias("h"))
     return G.reusable(wanted, cache, ["source_relative_path", "h"], "first").select("chunk_id", "first").na.fill(-9.0, ["first"])
 
@@ -196,7 +196,7 @@ def term_containment(spark, d):
 
 def word_sets(spark, d):
     t = table(spark, d, "medical_conditions").select("id", F.array_sort(F.array_distinct(F.filter(T.words("name"), lambda w: F.length(w) > 2))).alias("w"))
-    other = table(spark, d, "medical_conditions").where("id <= 20").select(F.col("id").alias("other"), F.array_sort(F.array_distinct(F.filter(T.words("name"), lambda w: F.length(w) > 2))).alias("v"))
+    other = table(spark, d, "medical_conditions").select(F.col("id").alias("other"), F.array_sort(F.array_distinct(F.filter(T.words("name"), lambda w: F.length(w) > 2))).alias("v"))
     pairs = t.select("id", "w", F.explode("w").alias("k")).join(other.select("other", "v", F.explode("v").alias("k")), "k").select("id", "other", "w", "v").distinct().where("id <> other")
     n = F.size(F.array_intersect("w", "v"))
     return pairs.select("id", "other", n.alias("common"), ((n == F.size("w")) & (F.size("w") < F.size("v"))).alias("proper_subset"))
@@ -245,14 +245,14 @@ def section_order(spark, d):
 def reference_numbers(spark, d):
     from pyspark.sql import Window as W
 
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_suppkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     first = li.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("first"))
     return first.withColumn("number", F.dense_rank().over(W.partitionBy("l_orderkey").orderBy("first", "l_suppkey"))).select("l_orderkey", "l_suppkey", "number")
 
 
 def label_citations(spark, d):
     li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.groupBy("p_type").agg(F.size(F.collect_set("l_suppkey")).alias("suppliers"), F.countDistinct("l_orderkey").alias("orders"))
+    return li.groupBy("p_type").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_orderkey").alias("orders"))
 
 
 def report_merge(spark, d):
@@ -287,7 +287,7 @@ def fragment_sizes(spark, d):
 def _ranking_of_labels(spark, d, by: str):
     from pyspark.sql import Window as W
 
-    li = table(spark, d, "lineitem").where("l_suppkey <= 50")
+    li = table(spark, d, "lineitem")
     w = W.partitionBy("l_suppkey").orderBy(F.desc(by), "l_orderkey", "l_linenumber")
     return li.select(F.col("l_suppkey").alias("query"), F.row_number().over(w).alias("position"), F.when(F.col("l_returnflag") != "N", F.when(F.col("l_returnflag") == "R", F.col("l_linenumber") % 4).otherwise(0)).alias("grade"))
 
@@ -305,7 +305,7 @@ def metric_means(spark, d):
 
 def regression_compare(spark, d):
     a = M.retrieval_metrics(_ranking_of_labels(spark, d, "l_quantity"), "query", "position", "grade")
-    b = M.retrieval_metrics(_ranking_of_labels(spark, d, "l_extendedprice"), "query", "position", "grade").where("query <> 3")
+    b = M.retrieval_metrics(_ranking_of_labels(spark, d, "l_extendedprice"), "query", "position", "grade")
     return M.compare_metrics(a, b, "query", {"precision_at_10": 1, "recall_at_50": 1, "unjudged_at_10": -1})
 
 
@@ -346,7 +346,7 @@ g AS (SELECT id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM t, (SELECT DIS
 m AS (SELECT g.id, nm.name_id, g.i - 1 AS position FROM g JOIN nm ON g.n = nm.n AND array_to_string(list_slice(g.w, g.i, g.i + g.n - 1), ' ') = nm.gram)"""
     pairs = mentions + ", c AS (SELECT chunk_id AS id, unnest(list_distinct(list_concat(coalesce(primary_medical_conditions, []), coalesce(secondary_medical_conditions, [])))) AS condition FROM chunks), p AS (SELECT DISTINCT name_id, condition FROM m JOIN c USING (id))"
     alias = lambda k: f"coalesce((SELECT list(DISTINCT a.name ORDER BY a.name) FROM herb_aliases a WHERE a.herb_id = h.id AND a.kind = '{k}'), []) AS {k}"
-    metrics = lambda by: f"""r AS (SELECT l_suppkey AS query, row_number() OVER (PARTITION BY l_suppkey ORDER BY {by} DESC, l_orderkey, l_linenumber) AS p, CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_returnflag = 'R' THEN l_linenumber % 4 ELSE 0 END END AS g FROM lineitem WHERE l_suppkey <= 50),
+    metrics = lambda by: f"""r AS (SELECT l_suppkey AS query, row_number() OVER (PARTITION BY l_suppkey ORDER BY {by} DESC, l_orderkey, l_linenumber) AS p, CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_returnflag = 'R' THEN l_linenumber % 4 ELSE 0 END END AS g FROM lineitem),
 got AS (SELECT query, count(*) FILTER (p <= 10 AND g > 0) / 10.0 AS precision_at_10, coalesce(max(CASE WHEN g > 0 THEN 1.0 / p END), 0) AS reciprocal_rank, sum(CASE WHEN p <= 10 THEN (pow(2, coalesce(g, 0)) - 1) / log2(p + 1) END) AS dcg, count(*) FILTER (p <= 50 AND g > 0) AS hits, count(*) FILTER (p <= 10 AND g IS NULL) AS unjudged_at_10 FROM r GROUP BY 1),
 ideal AS (SELECT query, sum(CASE WHEN i <= 10 THEN (pow(2, g) - 1) / log2(i + 1) END) AS ideal, count(*) AS n FROM (SELECT query, g, row_number() OVER (PARTITION BY query ORDER BY g DESC) AS i FROM r WHERE g > 0) GROUP BY 1),
 m AS (SELECT query, round(precision_at_10, 6) AS precision_at_10, round(reciprocal_rank, 6) AS reciprocal_rank, round(coalesce(dcg / nullif(ideal, 0), 0), 6) AS ndcg_at_10, round(coalesce(hits / nullif(n, 0), 0), 6) AS recall_at_50, unjudged_at_10, hits / nullif(n, 0) AS rec FROM got LEFT JOIN ideal USING (query))"""
@@ -377,11 +377,11 @@ m AS (SELECT query, round(precision_at_10, 6) AS precision_at_10, round(reciproc
         "differential_publish": "WITH o AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate < '1997-01-01'), n AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 3) SELECT *, 'delete' AS action FROM (FROM o EXCEPT FROM n) UNION ALL SELECT *, 'insert' FROM (FROM n EXCEPT FROM o)",
         "bag_difference": "SELECT l_suppkey, l_returnflag, count(*) AS n FROM (SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber <= 2 EXCEPT ALL SELECT l_suppkey, l_returnflag FROM lineitem WHERE l_linenumber = 2) GROUP BY ALL",
         "document_changes": "SELECT coalesce(c.relative_path, s.p) AS relative_path, CASE WHEN s.p IS NULL THEN 'new' WHEN c.relative_path IS NULL THEN 'deleted' WHEN c.sha256 IS NOT DISTINCT FROM s.v THEN 'same' ELSE 'changed' END AS change FROM documents c FULL JOIN (SELECT source_relative_path AS p, max(lower(trim(source_sha256))) AS v FROM chunks GROUP BY 1) s ON s.p = c.relative_path",
-        "upsert": "WITH n AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), u AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n) SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM u GROUP BY 1",
-        "vector_reuse": "WITH k AS (SELECT source_relative_path, lower(text_sha256) AS h, min(round(CAST(embedding[1] AS DOUBLE), 6)) AS first FROM chunks WHERE chunk_id % 2 = 0 AND embedding IS NOT NULL GROUP BY ALL) SELECT c.chunk_id, coalesce(k.first, -9.0) AS first FROM chunks c LEFT JOIN k ON k.source_relative_path = c.source_relative_path AND k.h = lower(c.text_sha256)",
+        "upsert": "WITH n AS (SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'), u AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n) SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM u GROUP BY 1",
+        "vector_reuse": "WITH k AS (SELECT source_relative_path, lower(text_sha256) AS h, min(round(CAST(embedding[1] AS DOUBLE), 6)) AS first FROM chunks WHERE business_category = 'R1' AND embedding IS NOT NULL GROUP BY ALL) SELECT c.chunk_id, coalesce(k.first, -9.0) AS first FROM chunks c LEFT JOIN k ON k.source_relative_path = c.source_relative_path AND k.h = lower(c.text_sha256)",
         "source_manifest": "SELECT language, count(*) AS rows, sha256(array_to_string(list(DISTINCT h ORDER BY h), ',')) AS digest FROM (SELECT language, left(sha256(coalesce(text, '')), 4) AS h FROM chunks) GROUP BY 1",
         "term_containment": f"WITH t AS (SELECT id, ' ' || {norm('ro')} || ' ' AS n FROM herbs) SELECT a.id, b.id AS inner_id FROM t a JOIN t b ON a.id <> b.id AND contains(a.n, b.n)",
-        "word_sets": f"WITH t AS (SELECT id, list_distinct(list_filter({w('name')}, lambda x: length(x) > 2)) AS w FROM medical_conditions) SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w)) AS common, len(list_intersect(a.w, b.w)) = len(a.w) AND len(a.w) < len(b.w) AS proper_subset FROM t a JOIN t b ON a.id <> b.id AND b.id <= 20 AND list_has_any(a.w, b.w)",
+        "word_sets": f"WITH t AS (SELECT id, list_distinct(list_filter({w('name')}, lambda x: length(x) > 2)) AS w FROM medical_conditions) SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w)) AS common, len(list_intersect(a.w, b.w)) = len(a.w) AND len(a.w) < len(b.w) AS proper_subset FROM t a JOIN t b ON a.id <> b.id AND list_has_any(a.w, b.w)",
         "secondary_without_primary": "SELECT chunk_id, list_filter(coalesce(secondary_medical_conditions, []), lambda x: NOT list_contains(coalesce(primary_medical_conditions, []), x)) AS kept FROM chunks",
         "ordered_distinct": f"SELECT item_id, len(w) AS n, md5(array_to_string(w, ' ')) AS words FROM (SELECT item_id, list_transform(list_sort(list_transform(list_distinct(w), lambda x: list_position(w, x))), lambda i: w[i]) AS w FROM (SELECT item_id, {w('text')} AS w FROM benchmark))",
         "canonical_conditions": f"WITH d AS (SELECT k, min(name) AS n FROM (SELECT {norm('t')} AS k, name FROM (SELECT name, unnest([name, en]) AS t FROM medical_conditions UNION ALL SELECT c.name, s.synonym FROM medical_condition_synonyms s JOIN medical_conditions c ON c.id = s.condition_id)) GROUP BY 1) SELECT coalesce(d.n, m.top_condition) AS top_condition, count(DISTINCT message_id) AS messages FROM message_classifications m LEFT JOIN d ON d.k = {norm('m.top_condition')} WHERE m.top_condition IS NOT NULL GROUP BY 1",
@@ -389,7 +389,7 @@ m AS (SELECT query, round(precision_at_10, 6) AS precision_at_10, round(reciproc
         "event_json": "SELECT event_type, count(*) AS n, count(props) AS with_props, count(DISTINCT json_keys(props)) AS shapes FROM events GROUP BY 1",
         "enum_order": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_orderdate, o_orderkey LIMIT 50",
         "section_order": "SELECT * FROM (SELECT l_suppkey, round_even(max(l_extendedprice), 0) AS best, count(DISTINCT l_partkey) AS benefits, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1) ORDER BY best DESC, benefits DESC, total DESC, l_suppkey LIMIT 30",
-        "reference_numbers": "SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first, l_suppkey) AS number FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL)",
+        "reference_numbers": "SELECT l_orderkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY first, l_suppkey) AS number FROM (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first FROM lineitem GROUP BY ALL)",
         "label_citations": "SELECT p_type, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_orderkey) AS orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
         "report_merge": f"SELECT * FROM (SELECT {norm('heading')} AS section, min(chunk_id) AS first, list(DISTINCT category_id ORDER BY category_id) AS evidence FROM chunks WHERE heading IS NOT NULL GROUP BY 1) WHERE section <> ''",
         "constant_relation": "SELECT english, count(*) AS n FROM herbs JOIN (VALUES ('plante', 'plants'), ('uleiuri', 'oils'), ('suplimente', 'supplements')) v(category, english) USING (category) GROUP BY 1",
@@ -399,7 +399,7 @@ m AS (SELECT query, round(precision_at_10, 6) AS precision_at_10, round(reciproc
         "fragment_sizes": "SELECT g AS business_category, count(*) AS items, sum(s) AS total, CAST(floor(quantile_cont(s, 0.5)) AS BIGINT) AS median, max(CASE WHEN r = greatest(floor(n * 0.95), 1) THEN s END) AS p95, max(s) AS largest, count(*) FILTER (s > 2000) AS over_2000, count(*) FILTER (s > 5000) AS over_5000 FROM (SELECT business_category AS g, length(text) AS s, row_number() OVER (PARTITION BY business_category ORDER BY length(text)) AS r, count(*) OVER (PARTITION BY business_category) AS n FROM chunks WHERE text IS NOT NULL) GROUP BY 1",
         "retrieval_metrics": f"WITH {metrics('l_quantity')} SELECT * EXCLUDE (rec) FROM m",
         "metric_means": f"WITH {metrics('l_quantity')} SELECT round(avg(precision_at_10), 6) AS precision, round(quantile_cont(recall_at_50, 0.5), 6) AS median_recall, list_sort(list(ndcg_at_10))[CAST(ceil(count(*) * 0.95) AS BIGINT)] AS p95_ndcg FROM m",
-        "regression_compare": f"WITH a AS (WITH {metrics('l_quantity')} SELECT * FROM m), b AS (WITH {metrics('l_extendedprice')} SELECT * FROM m WHERE query <> 3), "
+        "regression_compare": f"WITH a AS (WITH {metrics('l_quantity')} SELECT * FROM m), b AS (WITH {metrics('l_extendedprice')} SELECT * FROM m), "
         + "u AS (SELECT query, unnest(['precision_at_10', 'recall_at_50', 'unjudged_at_10']) AS metric, unnest([b.precision_at_10 - a.precision_at_10, coalesce(b.rec, 0) - coalesce(a.rec, 0), a.unjudged_at_10 - b.unjudged_at_10]) AS d, b.query IS NULL AS gone FROM a LEFT JOIN b USING (query)) SELECT query, metric, CASE WHEN gone OR d IS NULL THEN 'missing' WHEN d > 1e-12 THEN 'improved' WHEN d < -1e-12 THEN 'worse' ELSE 'same' END AS change FROM u",
         "category_rollup": rollup,
         "category_selection": f"SELECT sum(own) AS documents FROM ({rollup}) WHERE folder IN ('plante', 'plante/munte', 'plante/somn')",
