@@ -312,8 +312,14 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk
                 weight = np.arange(length, 0, -1, dtype=np.int8)[:, None]
                 most = min(len(x), max(4 * k, math.ceil(share * len(x))))
                 for q in range(len(ids)):
-                    common = np.minimum(file[qp[q]], weight).sum(0, dtype=np.int16)
-                    near = np.argpartition(-common, most - 1)[:most] if most < len(x) else np.arange(len(x))
+                    lists = file[qp[q]]
+                    np.minimum(lists, weight, out=lists)
+                    common = np.add.reduce(lists.view(np.uint8), axis=0, dtype=np.uint16)
+                    if most < len(x):  # the rows of the smallest distances, ties included
+                        above = np.cumsum(np.bincount(common, minlength=1)[::-1])
+                        near = np.flatnonzero(common >= len(above) - 1 - np.searchsorted(above, most))
+                    else:
+                        near = np.arange(len(x))
                     near = near[keys[near] != own[q]]
                     s = (x[near] @ qx[q]).astype(np.float64)
                     close = s >= best_s[q, -1]
