@@ -23,8 +23,8 @@ BLOCK = 400
 ROUNDS = 4
 #: Translations kept of a word, and the least association of one.
 TRANSLATIONS, LEAST_ASSOCIATION = 6, 0.12
-#: Word pairs counted by a task before it hands them on.
-HELD_COUNTS = 300_000
+#: Different word pairs that a task counts before it hands them on.
+HELD_COUNTS = 400_000
 #: Rows of the tables that go to every task; larger tables are joined to the documents by word.
 MOST_SHARED = 1_500_000
 #: Least score of a pair, and least share of a neighbour's content that the other sentence must cover to be merged.
@@ -169,10 +169,43 @@ def match(a: list[dict], b: list[dict], tables: Tables | None) -> tuple[np.ndarr
     return cover_a, cover_b, score, (wa, ma, wb, mb)
 
 
+class _Counts:
+    """Sums of word pairs, kept as arrays: words get numbers, a pair is one 64-bit key, equal keys are added up now and
+    then. Number 0 is no word."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.keys: list[np.ndarray] = []
+        self.sums: list[np.ndarray] = []
+        self.held = 0
+
+    def code(self, words: list[str]) -> np.ndarray:
+        number = self.number
+        return np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64)
+
+    def add(self, a, b, sums: np.ndarray) -> None:
+        self.keys.append(np.broadcast_to((a << 32) | b, sums.shape))
+        self.sums.append(sums.astype(np.float64))
+        self.held += len(sums)
+
+    def compact(self) -> int:
+        if self.keys:
+            keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+            self.keys, self.sums = [keys], [np.bincount(at, np.concatenate(self.sums))]
+            self.held = len(keys)
+        return self.held
+
+    def rows(self) -> pa.RecordBatch:
+        self.compact()
+        words = pa.array([None, *self.number], pa.string())
+        keys, sums = (self.keys[0], self.sums[0]) if self.keys else (np.empty(0, np.int64), np.empty(0))
+        return pa.RecordBatch.from_arrays([words.take(pa.array(keys >> 32)), words.take(pa.array(keys & 0xFFFFFFFF)), pa.array(sums)], names=["wa", "wb", "c"])
+
+
 def _count(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
     """Expected counts of word pairs under the alignment that ``tables`` gives; a pair with one word null counts the
     word itself."""
-    total: dict[tuple, float] = defaultdict(float)
+    total = _Counts()
     for batch in _small(batches):
         table_of = tables(batch)
         for r, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
@@ -186,17 +219,15 @@ def _count(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch
             soft[soft < 0.1] = 0
             c = ma.T @ soft @ mb
             i, j = np.nonzero(c > 0.08)
-            for x, y, v in zip(i.tolist(), j.tolist(), c[i, j].tolist()):
-                total[wa[x], wb[y]] += v
-            for x, v in enumerate((ma.T @ soft.sum(1)).tolist()):
-                total[wa[x], None] += v
-            for y, v in enumerate((mb.T @ soft.sum(0)).tolist()):
-                total[None, wb[y]] += v
-            total[None, None] += float(soft.sum())
-            if len(total) > HELD_COUNTS:
-                yield _rows(total)
-                total = defaultdict(float)
-    yield _rows(total)
+            ka, kb = total.code(wa), total.code(wb)
+            total.add(ka[i], kb[j], c[i, j])
+            total.add(ka, np.int64(0), ma.T @ soft.sum(1))
+            total.add(np.int64(0), kb, mb.T @ soft.sum(0))
+            total.add(np.zeros(1, np.int64), np.int64(0), np.array([soft.sum()]))
+            if total.held > 8 * HELD_COUNTS and total.compact() > HELD_COUNTS:
+                yield total.rows()
+                total = _Counts()
+    yield total.rows()
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
