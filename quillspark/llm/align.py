@@ -102,16 +102,20 @@ class Tables:
     """Translation tables of both directions with the weights of the words."""
 
     def __init__(self, rows: list[tuple[str, str, float, float, float]], total: float):
-        self.near: dict[str, list[tuple[str, float]]] = defaultdict(list)
         self.weight_a: dict[str, float] = {}
         self.weight_b: dict[str, float] = {}
-        self.best_b: dict[str, float] = {}
+        best_a: dict[str, float] = {}
+        best_b: dict[str, float] = {}
         for a, b, s, na, nb in rows:
-            self.near[a].append((b, s))
             self.weight_a[a] = math.log(1 + total / (1 + na))
             self.weight_b[b] = math.log(1 + total / (1 + nb))
-            self.best_b[b] = max(s, self.best_b.get(b, 0.0))
-        self.best_a = {a: max(s for _, s in v) for a, v in self.near.items()}
+            best_a[a], best_b[b] = max(s, best_a.get(a, 0.0)), max(s, best_b.get(b, 0.0))
+        # of each word its translations with their weights: relative to the best of either word, less for weak ones;
+        # a number only translates itself
+        self.near: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        for a, b, s, _, _ in rows:
+            if not (a.isdigit() or b.isdigit()):
+                self.near[a].append((b, max(s / best_a[a], s / best_b[b]) * min(1.0, 0.4 + s)))
         self.rare = math.log(1 + total / 2) if total else 1.0
 
 
@@ -138,11 +142,10 @@ def match(a: list[dict], b: list[dict], tables: Tables | None) -> tuple[np.ndarr
     t = np.zeros((len(wa), len(wb)), np.float32)
     for k, w in enumerate(wa):
         if tables:
-            top = tables.best_a.get(w, 1.0)
-            for v, s in tables.near.get(w, ()):
+            for v, weight in tables.near.get(w, ()):
                 j = column.get(v)
-                if j is not None and not (w.isdigit() or v.isdigit()):
-                    t[k, j] = max(s / top, s / tables.best_b[v]) * min(1.0, 0.4 + s)
+                if j is not None:
+                    t[k, j] = weight
         if w in column:
             t[k, column[w]] = 1.0 if w.isdigit() or len(w) > 3 else max(0.5, t[k, column[w]])
     if tables:
