@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.shared import materialize
 
 K1, B = 1.2, 0.75
 #: Share of an expression's words that a fragment must hold, and the boosts of phrases and headings.
@@ -34,6 +35,7 @@ def bm25(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> Dat
     terms = list(dict.fromkeys(terms))
     rows = df.select(F.col(id_col).alias("id"), T.words(text_col).alias("w"))
     rows = rows.select("id", F.size("w").alias("len"), *(term_frequency(F.col("w"), t).alias(f"tf{k}") for k, t in enumerate(terms)))
+    rows = materialize(rows, "frequencies")  # texts are read and cut into words once, for the statistics and the scores
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"), *(F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))))
     score = F.lit(0.0)
     for k in range(len(terms)):
