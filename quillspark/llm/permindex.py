@@ -270,7 +270,7 @@ def similar_pairs(members: DataFrame, links: DataFrame, id_col: str = "chunk_id"
 QUERY_BLOCK = 4096
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", vec_col: str = "embedding", pivots: int = 256, prefix: int = 24, share: float = 0.04) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", vec_col: str = "embedding", pivots: int = 256, prefix: int = 16, share: float = 0.03) -> DataFrame:
     """``(id_col, neighbour, similarity, rank)``: the ``k`` vectors of ``df`` most similar to each vector of
     ``queries``, itself left out.
 
