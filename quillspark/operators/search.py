@@ -66,10 +66,9 @@ def evidence_size(language: str) -> Column:
 def cosine_ranks(pool: DataFrame, rows: int | None = None) -> DataFrame:
     """``(chunk_id, cosine, semantic)``: the rank of each cosine within the pool, and no rank (infinity) at or below the
     pool's median. Ties share a rank; unusable vectors have no cosine and no rank."""
-    own = pool.where(F.col("cosine").isNotNull())
-    if rows is not None and rows > ranking.ONE_TASK_ROWS:
-        own = materialize(own.select("chunk_id", "cosine"), "cosines")  # read by the rank and by the median
-    ranked = ranking.global_rank(own.select("chunk_id", "cosine"), [F.desc("cosine")], "_rank", rows)
+    # the rank and the median read the cosines: computed once, kept as a narrow table
+    own = materialize(pool.where(F.col("cosine").isNotNull()).select("chunk_id", "cosine"), "cosines")
+    ranked = ranking.global_rank(own, [F.desc("cosine")], "_rank", rows)
     median = own.agg(F.percentile("cosine", 0.5).alias("_median"))
     gated = F.when(F.col("cosine") > F.col("_median"), F.col("_rank").cast("double")).otherwise(F.lit(NO_RANK))
     return ranked.join(F.broadcast(median)).select("chunk_id", "cosine", gated.alias("semantic"))  # one row
