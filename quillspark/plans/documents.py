@@ -8,6 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import clean as C
 from quillspark.operators import fragment, resolve, rules, spans
 from quillspark.operators import search as S
+from quillspark.plans import with_whole
 from quillspark.shared import table
 from quillspark.streaming import state
 
@@ -177,6 +178,10 @@ def queries():
 
 
 def oracle_sql():
+    return with_whole(_sql(), {"number_bag": "n", "session_expiry": "session"})
+
+
+def _sql():
     w = T.words_sql
     lines = "SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents WHERE text IS NOT NULL"
     num = lambda c: f"SELECT doc_id AS id, number, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({c}, '{C.NUMBER}')) AS number FROM documents) GROUP BY ALL"

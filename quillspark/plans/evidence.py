@@ -9,6 +9,7 @@ from quillspark.functions.formula import product_formula
 from quillspark.operators import evidence as E
 from quillspark.operators import generation as G
 from quillspark.operators import measures as M
+from quillspark.plans import with_whole
 from quillspark.shared import table
 
 _LABEL = "CASE WHEN l_returnflag = 'R' THEN 'positive' WHEN l_returnflag = 'A' AND l_linenumber >= 5 THEN 'mixed' WHEN l_returnflag = 'A' THEN 'caution' ELSE 'unclear' END"
@@ -329,6 +330,10 @@ def queries():
 
 
 def oracle_sql():
+    return with_whole(_sql(), {"product_mentions": "positions", "fragment_sizes": "total", "category_rollup": "own", "category_selection": "documents"})
+
+
+def _sql():
     eff = f"CASE WHEN l_linenumber = 1 AND ({_EFFECT}) = 'prohibition' THEN 'unknown' ELSE {_EFFECT} END"
     caution = f"SELECT entity, topic, ['prohibition', 'precaution', 'none', 'unknown'][CAST(min(o) AS BIGINT) + 1] AS effect, bool_or(r) AS recommended FROM (SELECT l_suppkey AS entity, l_partkey AS topic, l_discount > 0.05 AS r, list_position(['prohibition', 'precaution', 'none', 'unknown'], {eff}) - 1 AS o FROM lineitem) GROUP BY ALL"
     eligible = f"SELECT entity, topic FROM ({_PAIRS}) WHERE state IN ('positive', 'mixed')"

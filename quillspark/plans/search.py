@@ -10,6 +10,7 @@ from quillspark.functions import text as T
 from quillspark.functions import vector as V
 from quillspark.functions.formula import search_formula
 from quillspark.operators import lexical, search
+from quillspark.plans import with_whole
 from quillspark.shared import table
 
 # The question that the queries ask.
@@ -161,6 +162,10 @@ kept AS (SELECT * FROM (SELECT *, sum(evidence_chars) OVER (ORDER BY score DESC,
 
 
 def oracle_sql():
+    return with_whole(_sql(), {"postings": "first_positions"})
+
+
+def _sql():
     terms = lexical.expression_words(EXPRESSION)
     share = " + ".join(f"CASE WHEN list_contains({{w}}, '{t}') THEN 1 ELSE 0 END" for t in dict.fromkeys(terms))
     need = max(1, math.ceil(len(set(terms)) * lexical.SHARE))
