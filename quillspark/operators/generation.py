@@ -36,14 +36,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def content_hash(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(rows, digest)``: one digest of the multiset of rows, whatever their order and partitioning.
+def content_hash(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``(by, rows, digest)``: one digest of the multiset of rows (of each value of ``by``), whatever their order and
+    partitioning.
 
     Four independent 64-bit hashes of each row are summed exactly, so everything combines map-side and no task holds
     more than four numbers; the digest is that of the sums and the count."""
     row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     sums = [F.coalesce(F.sum(F.xxhash64(F.lit(k), row).cast("decimal(20,0)")).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"s{k}") for k in range(4)]
-    return df.agg(F.count("*").alias("rows"), *sums).select("rows", F.sha2(F.concat_ws(",", "rows", "s0", "s1", "s2", "s3"), 256).alias("digest"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *sums).select(*by, "rows", F.sha2(F.concat_ws(",", "rows", "s0", "s1", "s2", "s3"), 256).alias("digest"))
 
 
 def reusable(wanted: DataFrame, cache: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

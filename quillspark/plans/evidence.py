@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -188,6 +190,15 @@ def source_manifest(spark, d):
     return c.groupBy("language").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.sort_array(F.collect_set(F.substring("h", 1, 4))), ","), 256).alias("digest"))
 
 
+def source_fingerprints(spark, d):
+    """The manifest over whole rows: texts, embeddings and metadata of chunks and documents per language, and the
+    catalogues. ``source_manifest`` is as its SQL states it, from four digits of the distinct texts."""
+    sources = {"chunks": "language", "documents": "lang", "herbs": None, "herb_aliases": None, "medical_conditions": None, "medical_condition_synonyms": None}
+    parts = [(name, table(spark, d, name), by) for name, by in sources.items()]
+    hashed = [G.content_hash(t.withColumn("_by", F.col(by) if by else F.lit("")), t.columns, ["_by"]).select(F.lit(name).alias("source"), F.col("_by").alias("language"), "rows", "digest") for name, t, by in parts]
+    return functools.reduce(lambda a, b: a.unionByName(b), hashed)
+
+
 def term_containment(spark, d):
     t = table(spark, d, "herbs").select("id", T.words("ro").alias("w"))
     grams = t.select("id", F.size("w").alias("n"), F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(F.lit(1), F.size("w") - i + 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", i, k), " ").alias("g")))))).alias("x"))
@@ -321,7 +332,7 @@ def category_selection(spark, d):
 
 _NAMES = """pair_states fragment_folding positive_ranking caution_pairs caution_ranking condition_scores condition_top product_mentions cooccurrence cooccurrence_ranking product_catalog
 top_products unambiguous_names condition_dictionary catalog_checks literal_lookup optional_predicate evidence_page evidence_counts integrity_diff differential_publish bag_difference document_changes
-upsert vector_reuse source_manifest term_containment word_sets secondary_without_primary ordered_distinct canonical_conditions benefit_score event_json enum_order section_order reference_numbers
+upsert vector_reuse source_manifest source_fingerprints term_containment word_sets secondary_without_primary ordered_distinct canonical_conditions benefit_score event_json enum_order section_order reference_numbers
 label_citations report_merge constant_relation amplified duration_regression token_budget fragment_sizes retrieval_metrics metric_means regression_compare category_rollup category_selection""".split()
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from quillspark.operators import evidence as E
 from quillspark.operators import generation as G
 from quillspark.operators import measures as M
 from quillspark.operators import messages as ms
+from quillspark.plans import evidence as plans
 
 
 def test_every_label_combination(spark):
@@ -60,6 +62,23 @@ def test_generation(spark):
     assert got == {(1, "deleted"), (2, "same"), (3, "new")}
 
 
+def test_fingerprints_see_every_change(spark, tmp_path):
+    def digests(rows):
+        spark.createDataFrame(rows, "chunk_id long, language string, text string, embedding array<float>").write.mode("overwrite").parquet(f"{tmp_path}/chunks.parquet")
+        return {(r.source, r.language): (r.rows, r.digest) for r in plans.source_fingerprints(spark, str(tmp_path)).collect()}
+
+    for name in ("documents", "herbs", "herb_aliases", "medical_conditions", "medical_condition_synonyms"):
+        spark.createDataFrame([(1, "ro")], "id int, lang string").write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = {}  # two texts whose SHA-256 begins with the same four digits
+    a, b = next((seen[h], f"t{k}") for k in range(10_000) if seen.setdefault(h := hashlib.sha256(f"t{k}".encode()).hexdigest()[:4], f"t{k}") != f"t{k}")
+    base = [(1, "ro", a, [1.0]), (2, "ro", a, [2.0]), (3, "en", "x", None)]
+    first = digests(base)
+    assert len(first) == 7 and first["chunks", "ro"][0] == 2 and first == digests(base[::-1])
+    for other in ([*base[:1], (2, "ro", b, [2.0]), base[2]], [*base[:1], (2, "ro", a, [2.5]), base[2]], base[:1] + base[2:], [*base, base[0]]):
+        after = digests(other)
+        assert after["chunks", "ro"] != first["chunks", "ro"] and after["chunks", "en"] == first["chunks", "en"]
+
+
 def test_estimates(spark):
     s = spark.createDataFrame([("m", 100, 2000), ("m", 300, 6000), ("z", 0, 5)], "g string, x long, y long")
     assert {(r.g, r.seconds) for r in M.duration_regression(s, "g", "x", "y", 1000).collect()} == {("m", 20), ("z", None)}
