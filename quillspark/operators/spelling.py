@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import ACCENTED, FOLDED, plain
 from quillspark.operators.generation import content_hash
 from quillspark.shared import materialize
 
@@ -19,20 +20,21 @@ SPLIT_LENGTH, PIECE_LENGTH, PIECE_FREQUENCY = 8, 5, 100
 MOST_PASSES = 16
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\W\d_]+")
+_FOLD = str.maketrans(ACCENTED, FOLDED)
 
 
-def one_edit(word: str) -> set[str]:
-    """Words one edit away: a letter dropped, added or changed, or two neighbours swapped."""
-    out = set()
-    for i in range(len(word) + 1):
-        head, tail = word[:i], word[i:]
-        out |= {head + c + tail for c in LETTERS}
-        if tail:
-            out.add(head + tail[1:])
-            out |= {head + c + tail[1:] for c in LETTERS}
-        if len(tail) > 1:
-            out.add(head + tail[1] + tail[0] + tail[2:])
-    return out - {word}
+def dropped(word: str) -> set[str]:
+    """The word and the words with one letter less. Words one edit apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def one_edit(word: str, fix: str) -> bool:
+    """Whether the words are one edit apart: a letter dropped, added or changed, or two neighbours swapped."""
+    k = next((i for i, (x, y) in enumerate(zip(word, fix)) if x != y), min(len(word), len(fix)))
+    a, b = word[k:], fix[k:]
+    if len(a) == len(b):
+        return bool(a) and ((a[1:] == b[1:] and b[0] in LETTERS) or (a[:2] == b[1::-1] and len(a) > 1 and a[2:] == b[2:]))
+    return a[1:] == b if len(a) > len(b) else a == b[1:] and b[0] in LETTERS
 
 
 def acceptable(word: str, fix: str, frequency: int) -> bool:
@@ -47,20 +49,21 @@ def typo_fixes(counts: DataFrame, dictionary: DataFrame, frequency: int = TYPO_F
     """``(word, fix)`` for rare words (``counts``: word, n) outside the ``dictionary`` (word): the dictionary word one
     edit away that is frequent, ``TYPO_TIMES`` times as frequent as the word, and five times as the second best.
 
-    Edits are generated for distinct rare words and joined to the counts by equality."""
+    Distinct rare words and frequent ones meet where they are equal but for one letter dropped from either."""
     rare = counts.where((F.length("word") >= TYPO_LENGTH) & (F.col("n") <= TYPO_OWN)).join(dictionary.select("word"), "word", "left_anti")
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, n, e) for w, n in zip(*(c.to_pylist() for c in b.columns)) if w.isascii() for e in one_edit(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["word", "own", "fix"])
+            rows = [(w, n, k) for w, n in zip(*(c.to_pylist() for c in b.columns)) if w.isascii() for k in dropped(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["word", "n", "key"])
 
-    known = counts.join(dictionary.select("word"), "word", "left_semi").where(F.col("n") >= frequency).select(F.col("word").alias("fix"), F.col("n").alias("known"))
-    met = rare.select("word", "n").mapInArrow(propose, "word string, own bigint, fix string").join(known, "fix").where(F.col("known") >= F.greatest(F.lit(frequency), TYPO_TIMES * F.col("own")))
+    keyed = lambda df: df.select("word", "n").mapInArrow(keys, "word string, n bigint, key string")
+    known = keyed(counts.join(dictionary.select("word"), "word", "left_semi").where(F.col("n") >= frequency)).select(F.col("word").alias("fix"), F.col("n").alias("known"), "key")
+    met = keyed(rare).join(known, "key").where(F.col("known") >= F.greatest(F.lit(frequency), TYPO_TIMES * F.col("n"))).select("word", "fix", "known").distinct()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([acceptable(w, f, k) for w, f, k in zip(*(b.column(c).to_pylist() for c in ("word", "fix", "known")))], pa.bool_()))
+            yield b.filter(pa.array([one_edit(w, f) and acceptable(w, f, k) for w, f, k in zip(*(b.column(c).to_pylist() for c in ("word", "fix", "known")))], pa.bool_()))
 
     good = met.select("word", "fix", "known").mapInArrow(judge, "word string, fix string, known bigint")
     w = W.partitionBy("word").orderBy(F.desc("known"), "fix")
@@ -80,12 +83,39 @@ def split_fixes(counts: DataFrame, dictionary: DataFrame, function_words: list[s
     return met.groupBy("word").agg(F.max_by(F.concat_ws(" ", "a", "b"), F.struct(F.least("na", "nb"), "a")).alias("fix"))
 
 
+def written_forms(df: DataFrame, text_col: str, fixes: DataFrame) -> DataFrame:
+    """``fixes`` with each fix in the spelling, accents included, in which the texts have it most often."""
+    wanted = fixes.select(F.col("fix").alias("plain")).distinct()
+    forms = df.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    best = forms.withColumn("plain", plain("form")).join(wanted, "plain", "left_semi").groupBy("plain").agg(F.max_by("form", F.struct("n", "form")).alias("form"))
+    return fixes.join(best, fixes["fix"] == best["plain"], "left").select("word", F.coalesce("form", "fix").alias("fix"))
+
+
+def folded(text: str) -> str:
+    """``functions.text.plain`` of one string."""
+    return text.lower().translate(_FOLD)
+
+
+def carried(word: str, fix: str, accents: bool) -> str:
+    """``fix`` in place of ``word``: the letters that the fix leaves keep accents and case of the word, those that it
+    changes have the accents of the fix if ``accents``."""
+    old, new = folded(word), folded(fix)
+    if len(old) != len(word) or len(new) != len(fix):
+        return fix
+    k = next((i for i, (x, y) in enumerate(zip(old, new)) if x != y), min(len(old), len(new)))
+    rest = min(len(old), len(new)) - k
+    e = next((i for i in range(rest) if old[-1 - i] != new[-1 - i]), rest)
+    middle = (fix if accents else new)[k : len(new) - e]
+    return word[:k] + (middle.upper() if word.isupper() else middle) + word[len(word) - e :]
+
+
 def apply_fixes(df: DataFrame, id_col: str, text_col: str, fixes: DataFrame) -> DataFrame:
     """``(id, text, changes)``: whole words replaced, keeping lower or upper case; words in title case are names and
-    stay. Fixes reach the rows by a join on their words, so the table of fixes may be of any size."""
+    stay. Words meet the fixes by their folded form, as they are counted, and keep their accents. Fixes reach the rows by
+    a join on their words, so the table of fixes may be of any size. Words are letters only: a fix never changes a number."""
     kind = df.schema[id_col].dataType.simpleString()
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    uses = own.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).join(fixes, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("m"))
+    uses = own.select("id", F.explode(F.array_distinct(F.regexp_extract_all(plain("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).join(fixes, "word").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("m"))
     joined = own.join(uses, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +125,15 @@ def apply_fixes(df: DataFrame, id_col: str, text_col: str, fixes: DataFrame) ->
                 done = 0
                 if t and pairs:
                     to = dict(pairs)
+                    accents = folded(t) != t.lower()
 
                     def sub(m: re.Match) -> str:
                         nonlocal done
-                        fix = to.get(m[0].lower())
+                        fix = to.get(folded(m[0]))
                         if fix is None or not (m[0].islower() or m[0].isupper()):
                             return m[0]
                         done += 1
-                        return fix.upper() if m[0].isupper() else fix
+                        return carried(m[0], fix, accents)
 
                     t = _WORD.sub(sub, t)
                 texts.append(t)

@@ -9,7 +9,7 @@ from quillspark.operators import clean as C
 from quillspark.operators import display as D
 from quillspark.operators import messages as M
 from quillspark.operators import spelling
-from quillspark.shared import table
+from quillspark.shared import materialize, table
 
 
 def recommendation_labels(spark, d):
@@ -51,20 +51,34 @@ def deduplicated_messages(spark, d):
     return m.select("message_id", "session_id", M.clock((F.unix_micros(F.col("received_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1e6).alias("delay"))
 
 
-def typo_fixes(spark, d):
-    counts = C.unigrams(table(spark, d, "chunks"), "language", "text").groupBy("word").agg(F.sum("n").alias("n"))
+def _word_counts(spark, d):
+    return C.unigrams(table(spark, d, "chunks"), "language", "text").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _typo_fixes(counts):
     return spelling.typo_fixes(counts, counts.where("n >= 20").select("word"), 20)
 
 
-def split_fixes(spark, d):
-    counts = C.unigrams(table(spark, d, "chunks"), "language", "text").groupBy("word").agg(F.sum("n").alias("n"))
+def _split_fixes(counts):
     return spelling.split_fixes(counts, counts.where("n >= 20").select("word"), ["de", "la", "cu", "the", "of"], 20)
 
 
+def typo_fixes(spark, d):
+    return _typo_fixes(_word_counts(spark, d))
+
+
+def split_fixes(spark, d):
+    return _split_fixes(_word_counts(spark, d))
+
+
 def spelled_texts(spark, d):
-    c = table(spark, d, "chunks").where("language = 'en'").select("chunk_id", "text")
-    fixed = spelling.apply_fixes(c, "chunk_id", "text", typo_fixes(spark, d))
-    return fixed.where("changes > 0").select("id", "changes")
+    """All chunks with both kinds of fixes; a word that has both is split."""
+    c = table(spark, d, "chunks").select("chunk_id", "text")
+    counts = materialize(_word_counts(spark, d), "counts")
+    splits = materialize(_split_fixes(counts), "splits")
+    typos = materialize(_typo_fixes(counts).join(splits, "word", "left_anti"), "typos")
+    fixes = splits.unionByName(spelling.written_forms(c, "text", typos))
+    return spelling.apply_fixes(c, "chunk_id", "text", fixes).where("changes > 0").select("id", "changes")
 
 
 def highlights(spark, d):

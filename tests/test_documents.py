@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import clean as C
 from quillspark.operators import fragment as fr
 from quillspark.operators import resolve, rules, spans, spelling
+from quillspark.plans import messages as plan_messages
 from quillspark.sources import files
 from quillspark.streaming import state
 
@@ -115,6 +116,11 @@ def test_rules(spark):
     assert got == {1: "positive", 2: "unclear", 3: None}
 
 
+def test_one_edit():
+    assert all(spelling.one_edit(a, b) for a, b in (("abc", "acb"), ("abc", "ab"), ("abc", "abcd"), ("abc", "xbc"), ("abc", "bac")))
+    assert not any(spelling.one_edit(a, b) for a, b in (("abc", "abc"), ("abc", "cba"), ("abc", "ab1"), ("abc", "a"), ("abc", "bca")))
+
+
 def test_spelling(spark):
     counts = spark.createDataFrame([("medicament", 500), ("medciament", 1), ("tratamentul", 400), ("tratamentulmedicament", 1), ("medicamentx", 1)], "word string, n long")
     d = counts.where("n >= 400").select("word")
@@ -127,6 +133,17 @@ def test_spelling(spark):
     assert n == 3 and {r.x for r in out.collect()} == {3}
 
 
+def test_spelling_of_accented_words_and_both_languages(spark, tmp_path):
+    texts = [(1, "Două medciamentoasă, PĂMNT, medicamentoasă"), (2, "medciamentoasa, pamnt"), (3, "după tratamentulpământ")]
+    fixes = [("medciamentoasa", "medicamentoasă"), ("pamnt", "pământ"), ("tratamentulpamant", "tratamentul pamant")]
+    got = spelling.apply_fixes(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame(fixes, "word string, fix string"))
+    assert {r.id: (r.text, r.changes) for r in got.collect()} == {1: ("Două medicamentoasă, PĂMÂNT, medicamentoasă", 2), 2: ("medicamentoasa, pamant", 2), 3: ("după tratamentul pământ", 1)}
+    right = " ".join(["medicamentoasă tratamentul grădina"] * 700)
+    rows = [(1, "ro", right), (2, "ro", "o medciamentoasă"), (3, "ro", "la tratamentulgrădina"), (4, "en", "medciamentoasa"), (5, "ro", "medicamentoasă"), (6, "ro", None)]
+    spark.createDataFrame(rows, "chunk_id int, language string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {(r.id, r.changes) for r in plan_messages.spelled_texts(spark, str(tmp_path)).collect()} == {(2, 1), (3, 1), (4, 1)}
+
+
 def test_rate_limit(spark):
     t0 = dt.datetime(2025, 1, 1)
     secs = [0, 1, 2, 59, 60, 61, 200]
