@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,14 +38,22 @@ NON_USE = r"(?:habitat|cre[șs]te (?:în|pe|prin)|con[țt]ine|grows|contains|alt
 _SENTENCE = re.compile(r"[^.!?…]*[.!?…]?\s*")
 
 
+@lru_cache(maxsize=64)
+def _sentences(unit: str) -> tuple[list[int], list[int]]:
+    """Where the sentences begin and end."""
+    spans = [m.span() for m in _SENTENCE.finditer(unit) if m[0]]
+    return [a for a, _ in spans], [b for _, b in spans]
+
+
 def _sentence(c: Candidate) -> tuple[int, int]:
     """The sentence of the condition."""
-    for m in _SENTENCE.finditer(c.unit):
-        if m.start() <= c.condition[0] < m.end():
-            return m.start(), m.end()
-    return 0, len(c.unit)
+    begins, ends = _sentences(c.unit)
+    k = bisect_right(begins, c.condition[0]) - 1
+    return (begins[k], ends[k]) if k >= 0 and c.condition[0] < ends[k] else (0, len(c.unit))
 
 
+# the pairs of a unit ask the same of the same text
+@lru_cache(maxsize=4096)
 def _in(pattern: str, text: str) -> re.Match | None:
     return re.search(pattern, text, re.I)
 
@@ -125,3 +135,35 @@ def classify(candidates: DataFrame) -> DataFrame:
 
     own = candidates.select("identity", "unit", "heading", *(candidates[c].cast("int") for c in ("p0", "p1", "c0", "c1")))
     return own.mapInArrow(run, f"identity {kind}, label string, code string, quote_begin int, quote_end int")
+
+
+#: Rows of a batch of pairs; a unit with many pairs gives several batches.
+PAIR_ROWS = 10_000
+
+
+def classify_pairs(units: DataFrame) -> DataFrame:
+    """``(identity, p0, p1, c0, c1, label, code, quote_begin, quote_end)`` of every product with every condition of the
+    ``(identity, unit, heading, products array<string>, conditions array<struct<begin, finish>>)`` rows. Products are the
+    names in the order of the text, each from the end of the one before; the places of the pairs are offsets."""
+    kind = units.schema["identity"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            types = (b.schema.field(0).type, *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.int32())
+            names = ["identity", "p0", "p1", "c0", "c1", "label", "code", "quote_begin", "quote_end"]
+            rows = []
+            for i, unit, heading, products, conditions in zip(*(c.to_pylist() for c in b.columns)):
+                end = 0
+                for name in products or ():
+                    begin = unit.index(name, end)
+                    end = begin + len(name)
+                    for c in conditions or ():
+                        d = decide(Candidate(unit, heading or "", (begin, end), (c["begin"], c["finish"])))
+                        rows.append((i, begin, end, c["begin"], c["finish"], d.label if d else None, d.code if d else None, *((d.quote if d else None) or (None, None))))
+                        if len(rows) == PAIR_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                            rows = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, types)], names=names)
+
+    own = units.select("identity", "unit", "heading", "products", "conditions")
+    return own.mapInArrow(run, f"identity {kind}, p0 int, p1 int, c0 int, c1 int, label string, code string, quote_begin int, quote_end int")

@@ -142,13 +142,12 @@ def close_names(spark, d):
 
 
 def polarity_rules(spark, d):
-    """Candidates are a product word and a condition named in one chunk, decided by the ordered rules."""
-    found = fragment.condition_spans(table(spark, d, "chunks"), _terms(spark, d), "chunk_id", "text")
-    first = found.groupBy("id").agg(F.min(F.struct("begin", "finish")).alias("c"))
-    c = table(spark, d, "chunks").join(first, F.col("chunk_id") == F.col("id"))
-    name = F.regexp_extract("text", r"(?i)([\p{L}']+-[\p{L}]+)", 1)
-    at = F.instr(F.col("text"), name) - 1
-    return rules.classify(c.where(name != "").select(F.col("chunk_id").alias("identity"), F.col("text").alias("unit"), "heading", at.alias("p0"), (at + F.length(name)).alias("p1"), F.col("c.begin").alias("c0"), F.col("c.finish").alias("c1")))
+    """Candidates are all pairs of a product word and a condition named in one chunk, decided by the ordered rules."""
+    chunks = table(spark, d, "chunks")
+    found = fragment.condition_spans(chunks, _terms(spark, d), "chunk_id", "text").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("begin", "finish"))).alias("conditions"))
+    c = chunks.join(found, F.col("chunk_id") == F.col("id"))
+    products = F.regexp_extract_all("text", F.lit(r"(?i)([\p{L}']+-[\p{L}]+)"), F.lit(1))
+    return rules.classify_pairs(c.select(F.col("chunk_id").alias("identity"), F.col("text").alias("unit"), "heading", products.alias("products"), "conditions"))
 
 
 def rate_limit(spark, d):

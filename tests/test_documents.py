@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import clean as C
 from quillspark.operators import fragment as fr
 from quillspark.operators import resolve, rules, spans, spelling
+from quillspark.plans import documents as plan_documents
 from quillspark.plans import messages as plan_messages
 from quillspark.sources import files
 from quillspark.streaming import state
@@ -116,6 +117,18 @@ def test_rules(spark):
     assert got == {1: "positive", 2: "unclear", 3: None}
 
 
+def test_every_pair_of_a_chunk_is_judged(spark, tmp_path):
+    text = "Ceai-verde ajută la tuse. Persoanele cu gripă evită ulei-fin, nu ceai-verde."
+    spark.createDataFrame([(1, text, None), (2, "ceai-verde", ""), (3, None, None)], "chunk_id int, text string, heading string").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(1, "Tuse", None), (2, "Gripă", None)], "id int, name string, en string").write.parquet(f"{tmp_path}/medical_conditions.parquet")
+    spark.createDataFrame([], "condition_id int, synonym string").write.parquet(f"{tmp_path}/medical_condition_synonyms.parquet")
+    rows = plan_documents.polarity_rules(spark, str(tmp_path)).collect()
+    got = {(text[r.p0 : r.p1], r.p0, text[r.c0 : r.c1]): r.label for r in rows}
+    names = [("Ceai-verde", 0), ("ulei-fin", text.index("ulei-fin")), ("ceai-verde", text.index("ceai-verde"))]
+    assert len(rows) == 6 and set(got) == {(*n, c) for n in names for c in ("tuse", "gripă")}
+    assert got[(*names[0], "tuse")] == "positive" and got[(*names[1], "gripă")] == got[(*names[2], "gripă")] == "caution"
+
+
 def test_one_edit():
     assert all(spelling.one_edit(a, b) for a, b in (("abc", "acb"), ("abc", "ab"), ("abc", "abcd"), ("abc", "xbc"), ("abc", "bac")))
     assert not any(spelling.one_edit(a, b) for a, b in (("abc", "abc"), ("abc", "cba"), ("abc", "ab1"), ("abc", "a"), ("abc", "bca")))
