@@ -24,26 +24,66 @@ from quillspark.shared import bounded_sample, materialize
 #: then the number of pivot pairs, hence of posting lists, grows as the number of vectors.
 PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 64, 16_384
 PREFIX = 8  # pivots of an order that are kept
-POSTED = 5  # of these, each pair names a posting list the vector is put in
+LEAST_POSTED = 5  # of these, each pair names a posting list the vector is put in; more with more pivots, see ``posted``
 MOST_HOT = 100_000  # names of long lists that go to every task
 HOT_LIST = 8_192  # longer posting lists are cut into blocks, and each pair of blocks is one unit of work
 
 
-def unit_rows(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that are usable (not null, of one length, finite, not all zero) and their unit vectors as float32."""
-    widths = pc.unique(pc.list_value_length(col))
-    flat = not col.null_count and len(widths) == 1 and widths[0].as_py() and not col.flatten().null_count
-    lists = None if flat else col.to_pylist()
-    if lists is None:
-        x = np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1)
-        at = np.arange(len(col))
-    else:
-        width = max((len(v) for v in lists if v), default=0)
-        at = np.array([k for k, v in enumerate(lists) if v and len(v) == width and None not in v], np.int64)
-        x = np.array([lists[k] for k in at], np.float64).reshape(len(at), width)
-    norm = np.sqrt((x * x).sum(1)) if len(x) else np.empty(0)
-    ok = np.isfinite(norm) & (norm > 0)
-    return at[ok], (x[ok] / norm[ok][:, None]).astype(np.float32)
+def posted(pivots: int) -> int:
+    """Pivots of an order whose pairs name posting lists: with many pivots orders differ sooner, so more of each order
+    are posted."""
+    return min(PREFIX, max(LEAST_POSTED, math.ceil(math.log2(max(pivots, 2)) / 2)))
+
+
+def usual_width(df: DataFrame, vec_col: str) -> tuple[int, int]:
+    """``(width, rows)``: the most frequent length of the vectors (the larger one of equally frequent ones), counted over
+    the whole table, and how many rows have it. ``(0, 0)`` without any."""
+    sizes = df.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("width")).count()
+    top = sizes.orderBy(F.desc("count"), F.desc("width")).first()
+    return (top["width"], top["count"]) if top else (0, 0)
+
+
+def unusable_vectors(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
+    """``(id_col, reason)`` of the rows that no search can use: ``null``, ``empty``, ``length`` (not the usual one),
+    ``value`` (a null, infinite or undefined number) or ``zero``."""
+    width, _ = usual_width(df, vec_col)
+    v = F.col(vec_col)
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    reason = (
+        F.when(v.isNull(), "null").when(F.size(v) == 0, "empty").when(F.size(v) != width, "length")
+        .when(F.exists(v, odd), "value").when(F.forall(v, lambda x: x == 0), "zero")
+    )
+    return df.select(id_col, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def unit_rows(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are usable (not null, ``width`` long, finite, not all zero) and their unit vectors as float32. A row
+    that is not usable costs no other row of its batch anything."""
+    size = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(size == width) if width > 0 else np.empty(0, np.int64)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty((0, width), np.float32)
+    flat = (col if len(at) == len(col) else col.take(pa.array(at))).flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)  # a null number is NaN
+    with np.errstate(over="ignore", invalid="ignore"):
+        largest = np.abs(x).max(1)
+        ok = np.isfinite(largest) & (largest > 0)
+        x = x[ok] / largest[ok][:, None]  # so that no square overflows
+        return at[ok], (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+
+
+def packed_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in a byte a number, scaled to their largest one, and how far each is from what the bytes give back.
+    The cosine of two packed vectors differs from the true one by at most the sum of their two distances, whatever the
+    number of dimensions."""
+    top = np.maximum(np.abs(x).max(1, keepdims=True), 1e-30)
+    packed = np.rint(x * (127 / top)).astype(np.int8)
+    return packed, np.sqrt(((x - unpacked(packed)) ** 2).sum(1)).astype(np.float32) + np.float32(1e-6)
+
+
+def unpacked(packed: np.ndarray) -> np.ndarray:
+    x = packed.astype(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
 
 
 def order_prefix(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -59,14 +99,14 @@ def order_prefix(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def choose_pivots(df: DataFrame, id_col: str, vec_col: str, count: int, apart: float = 0.8) -> np.ndarray:
+def choose_pivots(df: DataFrame, id_col: str, vec_col: str, count: int, width: int, apart: float = 0.8) -> np.ndarray:
     """Up to ``count`` vectors of a bounded sample picked by the hash of their id, no two with a cosine of ``apart`` or
     more: a dense group gives one pivot, so that its members see the other pivots in like order instead of ranking one
     another."""
-    rows = bounded_sample(df.where(F.col(vec_col).isNotNull()).select(id_col, vec_col), id_col, 2 * count).select(vec_col).collect()
-    if not rows:
-        return np.empty((0, 0), np.float32)
-    _, x = unit_rows(pa.array([r[0] for r in rows], pa.list_(pa.float64())))
+    rows = bounded_sample(df.where(F.size(vec_col) == width).select(id_col, vec_col), id_col, 2 * count).orderBy(id_col).select(vec_col).toArrow()
+    _, x = unit_rows(rows.column(0).combine_chunks(), width)
+    if not len(x):
+        return np.empty((0, width), np.float32)
     x = np.unique(x, axis=0)[np.argsort(np.unique(x, axis=0, return_index=True)[1])]
     kept = np.empty((0, x.shape[1] if len(x) else 0), np.float32)
     for lo in range(0, len(x), 1024):
@@ -84,22 +124,22 @@ def choose_pivots(df: DataFrame, id_col: str, vec_col: str, count: int, apart: f
 
 
 def index_vectors(df: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray) -> DataFrame:
-    """``(id, same, prefix, packed, lists)`` of every usable vector: ``same`` is a digest of the unit vector,
-    ``prefix`` the order of its nearest pivots, ``packed`` the vector in bytes for the inner ranking, ``lists`` the
-    names of its posting lists, one for each pair of its first pivots."""
+    """``(id, same, prefix, packed, slack, lists)`` of every usable vector: ``same`` is a digest of the unit vector,
+    ``prefix`` the order of its nearest pivots, ``packed`` the vector in bytes for the inner ranking and
+    ``slack`` what that may be off, ``lists`` the names of its posting lists, one for each pair of its first pivots."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, x = unit_rows(b.column(1))
+            at, x = unit_rows(b.column(1), shared.value.shape[1])
             if not len(x):
                 continue
             prefix = order_prefix(x, shared.value, PREFIX)
-            first = prefix[:, :POSTED].astype(np.int64)
+            first = prefix[:, : posted(len(shared.value))].astype(np.int64)
             pairs = list(itertools.combinations(range(first.shape[1]), 2)) or [(0, 0)]
             lists = np.stack([np.minimum(first[:, i], first[:, j]) * 65536 + np.maximum(first[:, i], first[:, j]) for i, j in pairs], 1)
-            packed = np.rint(x * 127).astype(np.int8)
+            packed, slack = packed_rows(x)
             rounded = np.round(x, 6) + np.float32(0)  # multiples of a vector are one vector, whatever the last bits
             yield pa.RecordBatch.from_arrays(
                 [
@@ -107,12 +147,13 @@ def index_vectors(df: DataFrame, id_col: str, vec_col: str, pivots: np.ndarray)
                     pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rounded], pa.binary()),
                     pa.array([r.tobytes() for r in prefix], pa.binary()),
                     pa.array([r.tobytes() for r in packed], pa.binary()),
+                    pa.array(slack),
                     pa.array(list(lists), pa.list_(pa.int64())),
                 ],
-                names=["id", "same", "prefix", "packed", "lists"],
+                names=["id", "same", "prefix", "packed", "slack", "lists"],
             )
 
-    return df.select(id_col, vec_col).mapInArrow(run, f"id {kind}, same binary, prefix binary, packed binary, lists array<bigint>")
+    return df.select(id_col, vec_col).mapInArrow(run, f"id {kind}, same binary, prefix binary, packed binary, slack float, lists array<bigint>")
 
 
 def footrule(a: np.ndarray, b: np.ndarray) -> int:
@@ -138,17 +179,21 @@ def depth_code(prefix: np.ndarray, slots: int = 24) -> np.ndarray:
     return out.reshape(n, -1)
 
 
-def _near(code: np.ndarray, x: np.ndarray, split: int | None, need: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _near(code: np.ndarray, x: np.ndarray, slack: np.ndarray, split: int | None, need: float, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one list, or between its two blocks if ``split`` says where the second begins, that are near
-    by footrule and then by the byte-coded cosine."""
+    by footrule and whose cosine can reach ``least`` after all that packing may have taken from it."""
+
+    def close(rows: slice, cols: slice) -> np.ndarray:
+        return (code[rows] @ code[cols].T >= need) & (x[rows] @ x[cols].T + slack[rows, None] + slack[None, cols] >= least)
+
     if split is None and len(x) <= 512:
-        return np.nonzero(np.triu((code @ code.T >= need) & (x @ x.T >= least), 1))
+        return np.nonzero(np.triu(close(slice(None), slice(None)), 1))
     left, right = [], []
     end, first = (len(x), 0) if split is None else (split, split)
     for lo in range(0, end, 512):
         hi = min(lo + 512, end)
         begin = lo if split is None else first
-        i, j = np.nonzero((code[lo:hi] @ code[begin:].T >= need) & (x[lo:hi] @ x[begin:].T >= least))
+        i, j = np.nonzero(close(slice(lo, hi), slice(begin, None)))
         i, j = i + lo, j + begin
         left.append(i[i < j])
         right.append(j[i < j])
@@ -162,21 +207,21 @@ def candidate_pairs(reps: DataFrame, least: float, most_footrule: int) -> DataFr
     its own, so no task holds a list whole and no pair of it is lost."""
     spark = reps.sparkSession
     kind = reps.schema["id"].dataType.simpleString()
-    posted = reps.select(F.explode("lists").alias("list"), "id", "prefix", "packed")
+    postings = reps.select(F.explode("lists").alias("list"), "id", "prefix", "packed", "slack")
     hot = reps.select(F.explode("lists").alias("list")).groupBy("list").count().where(F.col("count") > HOT_LIST)
     hot = hot.select(F.col("list").alias("_hot"), F.ceil(F.col("count") / F.lit(HOT_LIST)).cast("int").alias("_blocks"))
     hot = materialize(hot, "hot-lists")
     found = hot.count()
     if found:  # a few names of long lists: broadcast if their number is checked to be small, else joined as they are
         hot = F.broadcast(hot) if found <= MOST_HOT else hot
-        with_blocks = posted.join(hot, posted["list"] == hot["_hot"], "left").withColumn("n", F.coalesce("_blocks", F.lit(1)))
+        with_blocks = postings.join(hot, postings["list"] == hot["_hot"], "left").withColumn("n", F.coalesce("_blocks", F.lit(1)))
     else:
-        with_blocks = posted.withColumn("n", F.lit(1))
+        with_blocks = postings.withColumn("n", F.lit(1))
     with_blocks = with_blocks.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    units = with_blocks.select("id", "prefix", "packed", "list", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    units = units.select(F.struct("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("unit"), "own", "id", "prefix", "packed")
+    units = with_blocks.select("id", "prefix", "packed", "slack", "list", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    units = units.select(F.struct("list", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).alias("unit"), "own", "id", "prefix", "packed", "slack")
     units = units.repartition("unit").sortWithinPartitions("unit", "own")
-    units = units.select(F.col("unit.list").alias("list"), F.col("unit.x").alias("x"), F.col("unit.y").alias("y"), "own", "id", "prefix", "packed")
+    units = units.select(F.col("unit.list").alias("list"), F.col("unit.x").alias("x"), F.col("unit.y").alias("y"), "own", "id", "prefix", "packed", "slack")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -193,8 +238,8 @@ def candidate_pairs(reps: DataFrame, least: float, most_footrule: int) -> DataFr
                 continue
             done = now.slice(0, edges[stop])
             prefix = np.frombuffer(b"".join(done.column("prefix").to_pylist()), np.uint16).reshape(len(done), -1)
-            x = np.frombuffer(b"".join(done.column("packed").to_pylist()), np.int8).reshape(len(done), -1).astype(np.float32)
-            x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-9)[:, None]
+            x = unpacked(np.frombuffer(b"".join(done.column("packed").to_pylist()), np.int8).reshape(len(done), -1))
+            slack = done.column("slack").to_numpy()
             code = depth_code(prefix)
             length = prefix.shape[1]
             need = (length * (length + 1) - most_footrule) / 2
@@ -204,7 +249,7 @@ def candidate_pairs(reps: DataFrame, least: float, most_footrule: int) -> DataFr
                 if hi - lo < 2:
                     continue
                 split = int(np.searchsorted(own[lo:hi], key[lo, 2])) if key[lo, 1] != key[lo, 2] else None
-                i, j = _near(code[lo:hi], x[lo:hi], split, need, least)
+                i, j = _near(code[lo:hi], x[lo:hi], slack[lo:hi], split, need, least)
                 if len(i):
                     left.append(i + lo)
                     right.append(j + lo)
@@ -234,17 +279,17 @@ def similar_classes(df: DataFrame, threshold: float = 0.95, id_col: str = "chunk
     so a group that holds a third of all rows stays one row in the index. Every vector is indexed; recall of the links
     is measured in the tests. Empty tables give empty results.
     """
-    n = df.where(F.col(vec_col).isNotNull()).count()
-    pivots = choose_pivots(df, id_col, vec_col, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_PER_ROOT * math.sqrt(n)))))
+    width, n = usual_width(df, vec_col)
+    pivots = choose_pivots(df, id_col, vec_col, int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS_PER_ROOT * math.sqrt(n)))), width)
     kind = df.schema[id_col].dataType.simpleString()
     if not len(pivots):
         empty = df.sparkSession.createDataFrame([], f"id {kind}, rep {kind}")
         return empty, df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
     index = materialize(index_vectors(df, id_col, vec_col, pivots), "vectors")
     heads = index.groupBy("same").agg(F.min("id").alias("rep"))
-    members = index.select("id", "same").join(heads, "same").select("id", "rep").distinct()
-    reps = index.join(heads.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    pairs = materialize(candidate_pairs(reps, threshold - 0.02, most_footrule), "pairs")
+    members = materialize(index.select("id", "same").join(heads, "same").select("id", "rep").distinct(), "members")
+    reps = materialize(index.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).drop("same"), "representatives")
+    pairs = materialize(candidate_pairs(reps, threshold, most_footrule), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     vectors = materialize(df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "candidates")
     va = vectors.select(F.col("id").alias("a"), F.col("v").alias("va"))
@@ -266,76 +311,129 @@ def similar_pairs(members: DataFrame, links: DataFrame, id_col: str = "chunk_id"
     return across.unionByName(within).select(F.least("ia", "ib").alias(a), F.greatest("ia", "ib").alias(b)).distinct()
 
 
-#: Queries that go to every task at once; more are taken block by block.
-QUERY_BLOCK = 4096
+#: Pivots of the index for ``nearest`` and the places of an order kept; each vector is put in the inverted files of its
+#: first ``FILED`` pivots, and a query reads those of its first ``READ`` ones.
+NEAREST_PIVOTS, NEAREST_PREFIX, FILED, READ = 256, 16, 3, 8
+#: Rows of one inverted file, and queries, that are one unit of work.
+FILE_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Share of a file's rows, those nearest by footrule, that are ranked again by cosine; at least so many times k.
+RANKED_SHARE, RANKED_K = 0.5, 8
+
 
+def _best_of_file(ranks: np.ndarray, sims: np.ndarray, slack: np.ndarray, k: int, share: float) -> np.ndarray:
+    """Of one query the positions in a file that may be among its ``k`` nearest: of the rows nearest by footrule (ties
+    included), those whose cosine can be that of the k-th best after all that packing may have changed."""
+    most = max(RANKED_K * k, math.ceil(share * len(ranks)))
+    near = np.flatnonzero(ranks >= -np.partition(-ranks, most - 1)[most - 1]) if most < len(ranks) else np.arange(len(ranks))
+    s, e = sims[near], slack[near]
+    if len(near) > k:
+        near = near[s + e >= -np.partition(-(s - e), k - 1)[k - 1]]
+    return near
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", vec_col: str = "embedding", pivots: int = 256, prefix: int = 16, share: float = 0.03) -> DataFrame:
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", vec_col: str = "embedding", share: float = RANKED_SHARE, pivots: int = NEAREST_PIVOTS, filed: int = FILED, read: int = READ) -> DataFrame:
     """``(id_col, neighbour, similarity, rank)``: the ``k`` vectors of ``df`` most similar to each vector of
     ``queries``, itself left out.
 
-    All rows are indexed by the order of their ``prefix`` nearest of ``pivots`` pivots (a sample of at most that many
-    vectors). For each query the ``share`` of the rows with the smallest footrule distance is ranked again by the
-    exact cosine. Ties go to the smaller id. Unusable vectors are neither queries nor results; empty tables give no
-    rows. Queries are read in blocks by the hash of their id; each block passes over the index once.
+    Every vector is posted in the inverted files of its first ``filed`` pivots; a query reads the files of its first
+    ``read`` pivots. In each file the ``share`` of the rows with the smallest footrule distance is ranked again by the
+    cosine of the packed vectors, and what may be among the k best is kept; the exact cosine of these decides. Files over
+    ``FILE_BLOCK`` rows and queries over ``QUERY_BLOCK`` are cut into blocks by the hash of their ids, each pair of blocks a
+    unit of work of bounded size, so neither many rows in one file nor many queries are held at once or passed over
+    again. Results don't depend on partitions or batches.
+
+    Ties go to the smaller id. Vectors that are not usable (``unusable_vectors``) are neither queries nor results; repeated
+    rows count once; empty tables give no rows.
     """
+    from pyspark.sql import Window
+
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"query {kind}, neighbour {kind}, similarity double"
-    pv = choose_pivots(df, id_col, vec_col, pivots)
-    blocks = max(1, math.ceil(queries.count() / (QUERY_BLOCK * 0.9)))
+    width, _ = usual_width(df, vec_col)
+    pv = choose_pivots(df, id_col, vec_col, pivots, width)
     if not len(pv):
         return spark.createDataFrame([], f"{id_col} {kind}, neighbour {kind}, similarity double, rank int")
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    length = min(prefix, len(pv))
-    found = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)) == block).select(id_col, vec_col).dropDuplicates([id_col]).collect()
-        at, qx = unit_rows(pa.array([r[1] for r in own], pa.list_(pa.float64())))
-        shared = spark.sparkContext.broadcast(([own[i][0] for i in at], qx, order_prefix(qx, pv, length), pv))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, qx, qp, pv = shared.value
-            if not ids:
-                return
-            best_s = np.full((len(ids), k), -np.inf)
-            best_i = np.full((len(ids), k), -1, object)
-            own = np.array(ids)
+    shared = spark.sparkContext.broadcast(pv)
+    length = min(NEAREST_PREFIX, len(pv))
+
+    def orders(lists: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at, x = unit_rows(b.column(1))
+                at, x = unit_rows(b.column(1), width)
                 if not len(x):
                     continue
-                keys = b.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
-                order = order_prefix(x, pv, length)
-                file = np.zeros((len(pv), len(x)), np.int8)  # the inverted file: of each pivot, every row's weight
-                np.put_along_axis(file, order.T.astype(np.int64), np.arange(length, 0, -1, dtype=np.int8)[:, None].repeat(len(x), 1), 0)
-                weight = np.arange(length, 0, -1, dtype=np.int8)[:, None]
-                most = min(len(x), max(4 * k, math.ceil(share * len(x))))
-                for q in range(len(ids)):
-                    lists = file[qp[q]]
-                    np.minimum(lists, weight, out=lists)
-                    common = np.add.reduce(lists.view(np.uint8), axis=0, dtype=np.uint16)
-                    if most < len(x):  # the rows of the smallest distances, ties included
-                        above = np.cumsum(np.bincount(common, minlength=1)[::-1])
-                        near = np.flatnonzero(common >= len(above) - 1 - np.searchsorted(above, most))
-                    else:
-                        near = np.arange(len(x))
-                    near = near[keys[near] != own[q]]
-                    s = (x[near] @ qx[q]).astype(np.float64)
-                    close = s >= best_s[q, -1]
-                    if close.any():
-                        s, i = np.concatenate((best_s[q], s[close])), np.concatenate((best_i[q], keys[near[close]]))
-                        top = np.lexsort((i.astype(np.int64) if kind != "string" else np.arange(len(i)), -s))
-                        _, first = np.unique(i[top], return_index=True)
-                        top = top[np.sort(first)]
-                        top = top[i[top] != -1][:k]
-                        best_s[q, : len(top)], best_i[q, : len(top)] = s[top], i[top]
-            ok = best_s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ok.sum(1))), pa.array(best_i[ok].tolist(), pa.array(own).type), pa.array(best_s[ok])], names=["query", "neighbour", "similarity"])
-
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    from pyspark.sql import Window
+                prefix = order_prefix(x, shared.value, length)
+                packed, slack = packed_rows(x)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(pa.array(at)), pa.array([r.tobytes() for r in prefix], pa.binary()), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array(slack),
+                        pa.array(list(prefix[:, :lists].astype(np.int32)), pa.list_(pa.int32())),
+                    ],
+                    names=["id", "prefix", "packed", "slack", "lists"],
+                )
+
+        return run
+
+    index = f"id {kind}, prefix binary, packed binary, slack float, lists array<int>"
+    own = materialize(df.select(id_col, vec_col).mapInArrow(orders(filed), index).dropDuplicates(["id"]), "orders")
+    asked = materialize(queries.select(id_col, vec_col).mapInArrow(orders(read), index).dropDuplicates(["id"]), "questions")
+    # how many blocks each file and its queries need: one row a pivot
+    count = lambda t, name: t.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias(name))
+    sizes = materialize(count(own, "rows").join(count(asked, "questions"), "list").select("list", F.ceil(F.col("rows") / FILE_BLOCK).cast("int").alias("nr"), F.ceil(F.col("questions") / QUERY_BLOCK).cast("int").alias("nq")), "files")
+    sizes = F.broadcast(sizes)  # at most ``pivots`` rows
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    narrow = ["id", "prefix", "packed", "slack"]
+    files = own.select(*narrow, F.explode("lists").alias("list")).join(sizes, "list")
+    files = files.select("list", block("nr").alias("r"), every("nq").alias("q"), F.lit(1).alias("side"), *narrow)
+    reads = asked.select(*narrow, F.explode("lists").alias("list")).join(sizes, "list")
+    reads = reads.select("list", every("nr").alias("r"), block("nq").alias("q"), F.lit(0).alias("side"), *narrow)
+    units = files.unionByName(reads).repartition("list", "r", "q").sortWithinPartitions("list", "r", "q", "side")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(t: pa.Table) -> pa.RecordBatch | None:
+            split = int(np.searchsorted(t.column("side").to_numpy(), 1))
+            if not 0 < split < len(t):
+                return None
+            order = np.frombuffer(b"".join(t.column("prefix").to_pylist()), np.uint16).reshape(len(t), -1)
+            x = unpacked(np.frombuffer(b"".join(t.column("packed").to_pylist()), np.int8).reshape(len(t), -1))
+            slack = t.column("slack").to_numpy()
+            ids = t.column("id").combine_chunks()
+            keys = ids.to_numpy(zero_copy_only=False)
+            # of each place in the orders the weight of its pivot: the common part of two orders is the sum over their
+            # common pivots of the smaller weight, and the footrule distance falls as it grows
+            weight = np.zeros((len(t) - split, len(shared.value)), np.int8)
+            np.put_along_axis(weight, order[split:].astype(np.int64), np.arange(length, 0, -1, dtype=np.int8)[None].repeat(len(weight), 0), 1)
+            weight = np.ascontiguousarray(weight.T)
+            place = np.arange(length, 0, -1, dtype=np.int8)[:, None]
+            left, right = [], []
+            for lo in range(0, split, 64):
+                sims = x[lo : min(lo + 64, split)] @ x[split:].T
+                for q in range(len(sims)):
+                    common = np.minimum(weight[order[lo + q]], place).sum(0, dtype=np.int16)
+                    common[keys[split:] == keys[lo + q]] = -1
+                    near = _best_of_file(common, sims[q], slack[split:] + slack[lo + q], k + 1, share)
+                    left.append(np.full(len(near), lo + q))
+                    right.append(near + split)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(left))), ids.take(pa.array(np.concatenate(right)))], names=["query", "neighbour"])
+
+        kept = None
+        for b in itertools.chain(batches, [None]):
+            now = kept if b is None else pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            if now is None or not len(now):
+                continue
+            key = np.stack([now.column(c).to_numpy() for c in ("list", "r", "q")], 1)
+            edges = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(now)])).tolist()
+            stop = len(edges) - 1 if b is None else len(edges) - 2  # the last unit may go on in the next batch
+            for lo, hi in zip(edges[:stop], edges[1 : stop + 1]):
+                if (out := unit(now.slice(lo, hi - lo))) is not None:
+                    yield out
+            kept = None if b is None else now.slice(edges[stop])
 
+    pairs = materialize(units.mapInArrow(search, f"query {kind}, neighbour {kind}").where("query != neighbour").distinct(), "near")
+    rows = df.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("v"))
+    wanted = rows.join(pairs.select("neighbour").distinct(), "neighbour", "left_semi").dropDuplicates(["neighbour"])
+    asked_v = queries.select(F.col(id_col).alias("query"), F.col(vec_col).alias("w")).dropDuplicates(["query"])
+    exact = pairs.join(wanted, "neighbour").join(asked_v, "query").select("query", "neighbour", cosine("v", "w").alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("query", id_col)
+    return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("query", id_col)

@@ -11,12 +11,16 @@ from quillspark.llm import align, canonical, encode, leak, lookalike, ocr, permi
 from quillspark.shared import table
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repair_scans(table(spark, d, "chunks"), path_col="source_relative_path", titles=ocr.document_titles(table(spark, d, "documents")))
+
+
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.repair_scans(table(spark, d, "chunks")).select("chunk_id", "heading", "text")
+    return _repaired(spark, d).select("chunk_id", "heading", "text")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return ocr.defects(ocr.repair_scans(table(spark, d, "chunks")))
+    return ocr.defects(_repaired(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +36,11 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return permindex.nearest(chunks, chunks.where("chunk_id % 50 = 0"), 10)
 
 
+def p3_unusable(spark: SparkSession, d: str) -> DataFrame:
+    """The report of vectors that no search can use."""
+    return permindex.unusable_vectors(table(spark, d, "chunks"))
+
+
 def p4_aligned(spark: SparkSession, d: str) -> DataFrame:
     return align.align_sentences(table(spark, d, "chunks"))
 
@@ -116,6 +125,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_unusable": """
+WITH w AS (SELECT len(embedding) AS width FROM chunks WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
+SELECT * FROM (SELECT chunk_id, CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) != (SELECT width FROM w) THEN 'length'
+  WHEN len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'value' WHEN len(list_filter(embedding, x -> x != 0)) = 0 THEN 'zero' END AS reason FROM chunks)
+WHERE reason IS NOT NULL""",
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2000",
         "p8_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     }

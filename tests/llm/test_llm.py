@@ -57,7 +57,11 @@ def test_fold_and_repair():
     for t in ("", "plain", "ă̧ﬀ"):
         assert lookalike.fold(lookalike.fold(t)) == lookalike.fold(t)
     r = lookalike.repair_candidate
-    assert r("аlfа") == "alfa" and r("рH5") == "pH5" and r("α") is None and r("кот") is None and r("ӑа") == "ăa" and r("жa") is None and r("котa") == "кота"
+    assert r("аlfа") == "alfa" and r("рH5") == "pH5" and r("α") is None and r("кот") is None and r("жa") is None and r("котa") == "кота"
+    # words wholly of one script are words of that script, whatever they look like
+    assert all(r(w) is None for w in ("с", "а", "сор", "хор", "ӑа", "кто"))
+    c = lambda t: [x[3] for x in lookalike.candidates(t)]
+    assert c("в сор а хор") == [] and c("polecat'ѕ star") == ["polecat's"] and c("cu ο picătură de Β12") == ["o", "B12"] and c("α-tocoрherol") == ["α-tocopherol"] and c("а") == []
 
 
 def test_same_look(spark):
@@ -82,6 +86,12 @@ def test_look_alikes_need_the_vocabulary(spark):
     assert {r.chunk_id: r.text_form for r in lookalike.consistent_forms(more).collect()}[1] == "cuvant"
 
 
+def test_russian_words_stay(spark):
+    rows = [(k, "h", "хор и сор в лесу") for k in range(3)] + [(9, "h", "cop xop cop xop a o y")] * 4
+    df = spark.createDataFrame(rows, "chunk_id long, heading string, text string")
+    assert {r.text_form for r in lookalike.consistent_forms(df).where("chunk_id < 9").collect()} == {"хор и сор в лесу"}
+
+
 # --- p8 ---
 
 
@@ -252,7 +262,8 @@ SCANS = [
     (1, "Fișa 3", "Acidul organic separă esterii aroma-\ntici la temperatura\nENCICLOPEDIA CASEI VERZI\ncamerei. Distilatul limpede leagă cerurile.\n\n~ 12 ~\n\nAlt rând cu-\n\nManualul culegătorului · 9\n\nvinte."),
     (2, "Dcspre tei · 44", "Acldul organic separă esterii la temperatura camerei."), (3, None, None), (4, "", ""), (10, "§ 5", "Acidul organic § 5 conform § și stabile§te."), (5, "Tabelul 8: tei", "- unu\n- doi\n| a | 5 |\n2024. Un an."), (6, "12 | Despre tei", "Codul B12 și pH5."),
     (7, "Manualul culegătorului", "a"), (8, "Despre tei", "Despre acidul organic."), (9, "h", "x" * 50_000),
-] + [(100 + k, "Despre tei", "Acidul organic separă esterii aromatici la temperatura camerei. Cuvinte despre distilatul limpede stabilește.") for k in range(12)]
+] + [(100 + k, "Despre tei", f"Acidul organic separă esterii aromatici la temperatura camerei. Cuvinte despre distilatul limpede stabilește {k}.") for k in range(12)]
+SCANS += [(200 + k, "h", f"Pagina {k} spune\nENCICLOPEDIA CASEI VERZI\nceva. Și altceva\nManualul culegătorului\nspune.") for k in range(3)]
 
 
 @pytest.mark.parametrize("shared", [True, False])
@@ -262,13 +273,58 @@ def test_scan_repair(spark, monkeypatch, shared):
     df = spark.createDataFrame(SCANS, "chunk_id long, heading string, text string").withColumn("id", F.lit(1)).withColumn("mark", F.lit(1))
     out = {r.chunk_id: r for r in ocr.repair_scans(df).collect()}
     assert len(out) == len(SCANS)
-    d = {(r.chunk_id, r.field, r.defect) for r in ocr.defects(ocr.repair_scans(df)).collect()}
+    d = {(r.chunk_id, r.field, r.defect) for r in ocr.defects(ocr.repair_scans(df)).where("chunk_id < 200").collect()}
     assert d == {(1, "text", x) for x in ("hyphenation", "running_header", "page_number")} | {(2, "heading", "characters"), (2, "heading", "page_number"), (2, "text", "characters"), (6, "heading", "page_number"), (10, "text", "characters")}
     assert out[1].text == "Acidul organic separă esterii aromatici la temperatura camerei. Distilatul limpede leagă cerurile.\n\nAlt rând cuvinte."
     assert (out[2].heading, out[2].text) == ("Despre tei", "Acidul organic separă esterii la temperatura camerei.") and out[3].text is None and out[4].text == "" and out[5].text.startswith("- unu\n- doi") and out[10].text == "Acidul organic § 5 conform § și stabilește."
     assert ocr.defects(ocr.repair_scans(df.limit(0))).count() == 0
 
 
+def scans(spark, rows, titles=None, **kw):
+    df = spark.createDataFrame([(k, h, t, f"d/{k % 100}") for k, h, t in rows], "chunk_id long, heading string, text string, path string")
+    names = None if titles is None else spark.createDataFrame(titles, "path string, title string")
+    return {r.chunk_id: r for r in ocr.repair_scans(df, path_col="path", titles=names).collect()}
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_the_vocabulary_decides_on_broken_words(spark, monkeypatch, shared):
+    if not shared:
+        monkeypatch.setattr(ocr, "MOST_SHARED", -1)
+    filler = [(k, "h", "A well-known long-term plan. Limba-ariciului este aromatică, un ceai pentru cei mari, într-un loc " + str(k)) for k in range(100, 108)]
+    rows = [(1, "h", "A well-\nknown thing, limba-\nariciului, aroma-\ntică, într-\nun"), (2, "h", "ceai-\npentru"), (3, "h", "necunos-\ncutele"), (4, "h", "exem-\n\n12\n\nplul bun"), *filler]
+    out = scans(spark, rows)
+    assert out[1].text == "A well-known thing, limba-ariciului, aromatică, într-un" and {d.defect for d in out[1].defects} == {"hyphenation"}
+    assert out[2].text == "ceai-pentru" and not out[2].defects  # neither reading is known, both parts are words
+    assert out[3].text == "necunoscutele" and out[4].text == "exemplul bun"
+    assert {d.defect for d in out[4].defects} == {"hyphenation", "page_number"}
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_headers_repeat_at_page_edges_or_name_their_document(spark, monkeypatch, shared):
+    if not shared:
+        monkeypatch.setattr(ocr, "MOST_SHARED", -1)
+    city = "We went there.\n\nNew York City\n\nIt was late."
+    book = lambda k: f"The sentence number {k} goes\nManualul Culegătorului\non and ends here."
+    preparation = lambda k: f"All is said of {k}.\n\nPreparare\n\nTake the plant {k}."
+    rows = [(1, "h", city), (2, "h", "The oil is\nDcspre Tei\nwarm."), (3, "h", "The oil is\nDespre Tei\nwarm.")]
+    rows += [(10 + k, "h", book(k)) for k in range(4)] + [(30 + k, "h", preparation(k)) for k in range(6)] + [(50 + k, "h", city) for k in range(5)]
+    out = scans(spark, rows, [("d/2", "Despre tei"), ("d/9", "Altceva"), (None, "x"), ("d/3", None)])
+    assert all("New York City" in out[k].text for k in (1, 50, 54)) and all("Preparare" in out[30 + k].text for k in range(6))
+    assert all("Manualul" not in out[10 + k].text for k in range(4)) and out[2].text == "The oil is warm." and "Despre Tei" in out[3].text
+
+
+def test_copies_count_once(spark):
+    right = [(k, "h", f"Acidul organic {k} separă.") for k in range(40)]
+    copies = [(1000 + k, "h", "Acldul orgonic.") for k in range(500)]
+    out = scans(spark, right + copies)
+    assert out[1000].text == "Acidul orgonic." and out[1499].text == "Acidul orgonic."
+
+
+def test_undone_confusions():
+    assert ocr.undone("acldul", "acidul", 2) == 1 and ocr.undone("c1d", "eld", 2) == 2 and ocr.undone("acidul", "acldul", 2) is None and ocr.undone("rnici", "mici", 2) == 1
+    assert ocr.undone("c" * 30, "e" * 30, 3) is None and ocr.undone("c" * 30, "e" * 3 + "c" * 27, 3) == 3
+
+
 def test_look_alikes_are_no_misreadings(spark):
     rows = [(k, "h", "mentiune despre organic") for k in range(20)] + [(50, "h", "оrganic organiс mentiune")]
     assert ocr.defects(ocr.repair_scans(spark.createDataFrame(rows, "chunk_id long, heading string, text string"))).count() == 0
@@ -334,5 +390,41 @@ def test_subjects(spark):
 
 
 def test_unit_rows():
-    at, x = permindex.unit_rows(pa.array([[3.0, 4.0], None, [0.0, 0.0], [1.0], [float("nan"), 1.0], [1.0, None]], pa.list_(pa.float32())))
-    assert at.tolist() == [0] and np.allclose(x, [[0.6, 0.8]])
+    col = pa.array([[3.0, 4.0], None, [0.0, 0.0], [1.0], [float("nan"), 1.0], [1.0, None], [1.0, 2.0, 3.0], [], [0.0, float("inf")], [1e200, 0.0]], pa.list_(pa.float64()))
+    at, x = permindex.unit_rows(col, 2)
+    assert at.tolist() == [0, 9] and np.allclose(x, [[0.6, 0.8], [1, 0]])
+    assert permindex.unit_rows(col, 3)[0].tolist() == [6] and not len(permindex.unit_rows(col, 0)[0]) and not len(permindex.unit_rows(col.slice(0, 0), 2)[0])
+
+
+def test_a_malformed_vector_costs_no_other(spark):
+    rows = [(k, [1.0, k / 100]) for k in range(40)] + [(100, [1.0, 2.0, 3.0]), (101, None), (102, []), (103, [0.0, 0.0]), (104, [1.0, None]), (105, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").coalesce(1)
+    members, _ = permindex.similar_classes(df)
+    assert {r.id for r in members.collect()} == set(range(40))
+    assert {(r.chunk_id, r.reason) for r in permindex.unusable_vectors(df).collect()} == {(100, "length"), (101, "null"), (102, "empty"), (103, "zero"), (104, "value"), (105, "value")}
+    near = permindex.nearest(df, df, 3).collect()
+    assert len(near) == 120 and {r.neighbour for r in near if r.chunk_id == 0} == {1, 2, 3}
+
+
+@pytest.mark.parametrize("width", [2, 64, 384, 4096])
+def test_packing_is_off_by_no_more_than_it_says(width):
+    g = np.random.default_rng(width)
+    x = g.normal(size=(200, width))
+    x[:20] *= g.random((20, width)) < 0.05
+    x[:20, 0] += 1
+    x = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+    packed, slack = permindex.packed_rows(x)
+    y = permindex.unpacked(packed)
+    assert (np.abs(x @ x.T - y @ y.T) <= slack[:, None] + slack[None] + 1e-5).all()
+
+
+def test_nearest_does_not_depend_on_blocks_or_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(300, 5))], "chunk_id long, embedding array<float>")
+    want = {tuple(r)[:2] for r in permindex.nearest(df, df, 5).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {tuple(r)[:2] for r in permindex.nearest(df.repartition(3), df, 5).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(permindex, "QUERY_BLOCK", 11)
+    assert {tuple(r)[:2] for r in permindex.nearest(df, df, 5).collect()} == want
