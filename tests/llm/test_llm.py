@@ -238,19 +238,65 @@ NAMES = [(1, "Ochiul-mierlei", 5), (1, "Blackbird's-eye", 5), (2, "Ulei de talpa
     ],
 )
 def test_lookup(value, ref):
-    assert canonical.Dictionary([n for n in NAMES if n[1]]).lookup(value)[0] == ref
+    assert canonical.Dictionary([n for n in NAMES if n[1]], frozenset("ceai tea la".split())).lookup(value)[1] == ref
 
 
-def test_map_values(spark, monkeypatch):
+def test_map_values(spark):
     values = spark.createDataFrame([("ochiul mierlei",), ("ochiul mierlei",), (None,), ("",), ("  ",), ("zzz",), ("Gheara-dihorului",)], "value string")
     names = spark.createDataFrame(NAMES, "ref_id long, name string, frequency int")
     want = {("ochiul mierlei", 1), ("zzz", 0), ("Gheara-dihorului", 3)}
     assert {(r.value, r.ref_id) for r in canonical.map_values(values, names).collect()} == want
-    monkeypatch.setattr(canonical, "BLOCK_NAMES", 3)
-    assert {(r.value, r.ref_id) for r in canonical.map_values(values, names).collect() if r.ref_id != 3} == want - {("Gheara-dihorului", 3)}
     assert {r.ref_id for r in canonical.map_values(values, names.limit(0)).collect()} == {0}
 
 
+def test_long_values_and_words_never_seen_before():
+    d = canonical.Dictionary([(1, "mușețel", 5), (2, "gastroenterologie", 1)])
+    said = "bună ziua aș dori dacă se poate să îmi spuneți și mie ceva despre mușețel"
+    assert len(canonical.tokens(said)) > 12 and d.lookup(said)[:2] == (2, 1)
+    for v in ("infuzie de mușețel", "baie cu mușețelului", "macerat mușețel", "oțet de musetel"):
+        assert d.lookup(v)[1] == 1, v
+    assert d.lookup("gastroentrologgie")[1] == 2 and d.lookup("gxstroextexologie")[1] == 0 and d.lookup("oțet de mușetxl")[1] == 0  # beside unknown words only what is spelled right
+
+
+def test_edits_allowed_are_looked_up():
+    rng = random.Random(8)
+    names = ["gastroenterologie", "umflare", "cot", "rigiditate"]
+    d = canonical.Dictionary([(k, n, 0) for k, n in enumerate(names, 1)])
+    for k, n in enumerate(names, 1):
+        for _ in range(60):
+            w = list(n)
+            for _ in range(rng.randint(0, canonical.allowed(len(n)))):
+                i = rng.randrange(len(w))
+                w[i : i + rng.choice([0, 1])] = rng.choice(["", rng.choice("abcxyz")])
+            w = "".join(w)
+            if canonical.distance(w, n, 9) <= canonical.allowed(min(len(w), len(n))):
+                assert d.lookup(w)[1] == k, (w, n)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_blocks_of_names_give_the_same(spark, monkeypatch, block):
+    names = spark.createDataFrame([*NAMES, (11, "musetel", 1), (12, "musetel", 9), (13, "musetel", 9), (14, "musetel", 2), (15, "ceai verde", 1), (16, "otet de mere", 1)], "ref_id long, name string, frequency int")
+    said = ["musetel", "musetle", "ceai de musetel", "gheara dihorului", "ceai verde", "verde ceai", "oțet de mere", "otet musetel", "slabiciune nocturna la gât", "rezimemgie", "?", "12345"]
+    said += [f"tinctura {x}" for x in ("musetel", "gheara dihorului", "slabiciune de gat", "rezimemigie")]
+    values = spark.createDataFrame([(v,) for v in said], "value string")
+    want = {tuple(r) for r in canonical.map_values(values, names).collect()}
+    assert ("musetel", 12, 0.0) in want and ("tinctura musetel", 12, 0.0) in want
+    monkeypatch.setattr(canonical, "BLOCK_NAMES", block)
+    assert {tuple(r) for r in canonical.map_values(values, names).collect()} == want
+
+
+def test_optional_words(spark):
+    names = [(k, f"durere de {w}") for k, w in enumerate("cot gat ochi spate".split())] + [(k, f"durere nocturna de {w}") for k, w in enumerate("cot gat ochi spate".split(), 10)] + [(30, "steaua cerbului"), (31, "steaua ursului"), (32, None), (33, "")]
+    df = spark.createDataFrame([(r, n, 0.0) for r, n in names], "ref_id long, name string, frequency double").where("name IS NOT NULL")
+    assert canonical.optional_words([(r, canonical.tokens(n)) for r, n in names if n]) == canonical._optional_of(df) == {"de"}
+
+
+def test_the_more_frequent_condition_wins(spark):
+    names = spark.createDataFrame([(1, "Raceala", None), (2, "raceala", None), (2, "Guturai", None)], "ref_id long, name string, frequency double")
+    values = spark.createDataFrame([("guturai",), ("raceala",), ("gutturai",)], "value string")
+    assert {r.value: r.ref_id for r in canonical.map_values(values, names).collect()} == {"guturai": 2, "raceala": 1, "gutturai": 2}
+
+
 def test_damerau_levenshtein():
     d = canonical.distance
     assert d("abc", "abc", 3) == 0 and d("abc", "acb", 3) == 0.8 and d("abcd", "abqd", 3) == 1 and d("abcd", "abxd", 3) == 0.9 and d("cat", "cut", 3) == 0.8 and d("aa", "a", 3) == 0.8 and d("abc", "xyzabcd", 2) == float("inf")
