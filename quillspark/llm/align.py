@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,18 +15,18 @@ from pyspark.sql import functions as F
 from quillspark.llm.lookalike import fold
 from quillspark.shared import materialize
 
-#: Sentences of one side that are matched at once; longer documents are matched block against block.
-BLOCK = 400
 #: Rounds in which the translation tables are learned, each from the alignment of the round before.
 ROUNDS = 4
 #: Translations kept of a word, and the least association of one.
 TRANSLATIONS, LEAST_ASSOCIATION = 6, 0.12
-#: Different word pairs that a task counts before it hands them on.
-HELD_COUNTS = 400_000
-#: Rows of the tables that go to every task; larger tables are joined to the documents by word.
-MOST_SHARED = 1_500_000
+#: Rows of the tables that go to every task; larger tables are joined by word, with the same result.
+MOST_SHARED = 300_000
 #: Least score of a pair, and least share of a neighbour's content that the other sentence must cover to be merged.
 LEAST_SCORE, LEAST_COVERED = 0.48, 0.6
+#: Before anything is learned: places that a sentence's partner may be off the even spread of both sides.
+BAND = 3
+#: Pairs of sentences that teach words: least score, and least share of either one's alignment.
+LEAST_TEACHING, LEAST_SHARE = 0.3, 0.2
 
 _STOP = re.compile(r"[.!?](?=\s|\Z)")
 _WORD = re.compile(r"[^\W_]+")
@@ -67,218 +65,145 @@ def counterpart_key(path: Column | str, languages: tuple[str, str] = ("ro", "en"
 
 
 def paired_sentences(chunks: DataFrame, languages: tuple[str, str], id_col: str, path_col: str, lang_col: str, text_col: str, line_col: str | None) -> DataFrame:
-    """``(key, language, id, number, sentence, words, place)`` of the documents that have chunks in both languages."""
+    """``(doc, side, id, line, number, words)`` of the documents that have chunks in both languages; ``doc`` numbers the
+    documents, ``side`` is 0 for the first language."""
     line = F.col(line_col).cast("long") if line_col else F.lit(None).cast("long")
     own = chunks.where(F.col(lang_col).isin(*languages) & F.col(path_col).isNotNull() & F.col(text_col).isNotNull())
-    own = own.select(counterpart_key(path_col, languages).alias("key"), F.col(lang_col).alias("language"), F.col(id_col).alias("id"), line.alias("line"), F.col(text_col).alias("text"))
-    both = own.groupBy("key").agg(F.count(F.when(F.col("language") == languages[0], 1)).alias("a"), F.count(F.when(F.col("language") == languages[1], 1)).alias("b")).where("a > 0 AND b > 0").select("key")
+    side = F.when(F.col(lang_col) == languages[0], 0).otherwise(1)
+    own = own.select(counterpart_key(path_col, languages).alias("key"), side.alias("side"), F.col(id_col).alias("id"), line.alias("line"), F.col(text_col).alias("text"))
+    both = own.groupBy("key").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a != b").select("key")
+    both = materialize(both.withColumn("doc", F.monotonically_increasing_id()), "documents")  # written, so that numbers stay
     kind = chunks.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, lang, i, line, n, s, content(s)) for k, lang, i, line, t in zip(*(c.to_pylist() for c in b.columns)) for n, s in split_sentences(t)]
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = (pa.string(), pa.string(), b.schema.field(2).type, pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "language", "id", "line", "number", "sentence", "words"])
-
-    return own.join(both, "key", "left_semi").mapInArrow(run, f"key string, language string, id {kind}, line bigint, number bigint, sentence string, words array<string>")
-
-
-def _blocks(sentences: DataFrame, languages: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Distinct sentences of each document side in blocks of ``BLOCK``, each block of one side with each of the other:
-    ``(key, n, a, b)`` with arrays of (place, words); and the places of all sentences as they stand in the chunks."""
-    spoken = sentences.where(F.size("words") > 0).withColumn("said", F.array_join("words", " "))
-    first = spoken.groupBy("key", "language", "said").agg(F.min(F.struct(F.coalesce("line", F.lit(1 << 40)), "id", "number")).alias("at"), F.first("words").alias("words"))
-    order = W.partitionBy("key", "language").orderBy("at")
-    placed = first.withColumn("place", F.row_number().over(order) - 1).withColumn("total", F.count("*").over(W.partitionBy("key", "language")))
-    placed = materialize(placed.select("key", "language", "said", "words", "place", "total"), "sentences")
-    block = placed.groupBy("key", "language", F.floor(F.col("place") / BLOCK).alias("n")).agg(F.collect_list(F.struct("place", (F.col("place") / F.col("total")).alias("where"), "words")).alias("s"))
-    a = block.where(F.col("language") == languages[0]).select("key", F.col("n").alias("na"), F.col("s").alias("a"))
-    b = block.where(F.col("language") == languages[1]).select("key", F.col("n").alias("nb"), F.col("s").alias("b"))
-    return materialize(a.join(b, "key"), "blocks"), placed
-
-
-class Tables:
-    """Translation tables of both directions with the weights of the words."""
-
-    def __init__(self, rows: list[tuple[str, str, float, float, float]], total: float):
-        self.weight_a: dict[str, float] = {}
-        self.weight_b: dict[str, float] = {}
-        best_a: dict[str, float] = {}
-        best_b: dict[str, float] = {}
-        for a, b, s, na, nb in rows:
-            self.weight_a[a] = math.log(1 + total / (1 + na))
-            self.weight_b[b] = math.log(1 + total / (1 + nb))
-            best_a[a], best_b[b] = max(s, best_a.get(a, 0.0)), max(s, best_b.get(b, 0.0))
-        # of each word its translations with their weights: relative to the best of either word, less for weak ones;
-        # a number only translates itself
-        self.near: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        for a, b, s, _, _ in rows:
-            if not (a.isdigit() or b.isdigit()):
-                self.near[a].append((b, max(s / best_a[a], s / best_b[b]) * min(1.0, 0.4 + s)))
-        self.rare = math.log(1 + total / 2) if total else 1.0
-
-
-def _incidence(sentences: list[dict]) -> tuple[list[str], np.ndarray]:
-    at: dict[str, int] = {}
-    for s in sentences:
-        for w in s["words"]:
-            at.setdefault(w, len(at))
-    m = np.zeros((len(sentences), len(at)), np.float32)
-    for k, s in enumerate(sentences):
-        m[k, [at[w] for w in s["words"]]] = 1
-    return list(at), m
-
-
-def match(a: list[dict], b: list[dict], tables: Tables | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Coverage of each sentence of ``a`` by each of ``b``, the other way, their score, and the words with incidences.
-
-    A sentence becomes a weighted bag of target words through the table; through the inverted index of the other side
-    (the incidence matrix) each of its words finds the sentences that hold a translation, its best one counting. Equal
-    tokens (numbers, names) translate each other."""
-    wa, ma = _incidence(a)
-    wb, mb = _incidence(b)
-    column = {w: k for k, w in enumerate(wb)}
-    t = np.zeros((len(wa), len(wb)), np.float32)
-    for k, w in enumerate(wa):
-        if tables:
-            for v, weight in tables.near.get(w, ()):
-                j = column.get(v)
-                if j is not None:
-                    t[k, j] = weight
-        if w in column:
-            t[k, column[w]] = 1.0 if w.isdigit() or len(w) > 3 else max(0.5, t[k, column[w]])
-    if tables:
-        ia = np.array([tables.weight_a.get(w, tables.rare if w.isdigit() else 0.5 * tables.rare) for w in wa], np.float32)
-        ib = np.array([tables.weight_b.get(w, tables.rare if w.isdigit() else 0.5 * tables.rare) for w in wb], np.float32)
+            rows = [(d, side, i, line, n, content(s)) for d, side, i, line, t in zip(*(c.to_pylist() for c in b.columns)) for n, s in split_sentences(t)]
+            cols = list(zip(*rows)) if rows else [()] * 6
+            types = (pa.int64(), pa.int32(), b.schema.field(2).type, pa.int64(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc", "side", "id", "line", "number", "words"])
+
+    return own.join(both, "key").select("doc", "side", "id", "line", "text").mapInArrow(run, f"doc bigint, side int, id {kind}, line bigint, number bigint, words array<string>")
+
+
+def said(words: str) -> Column:
+    """Sentences of the same words are one; within a document their 64-bit digest tells them apart."""
+    return F.xxhash64(F.array_join(words, " "))
+
+
+def placed_sentences(sentences: DataFrame) -> DataFrame:
+    """``(doc, side, said, words, place, total)``: the distinct sentences of each side, numbered in the order of the
+    document. Places are ranks within range partitions plus the sizes of those before, so no document is in one task."""
+    spoken = sentences.where(F.size("words") > 0).withColumn("said", said("words"))
+    first = spoken.groupBy("doc", "side", "said").agg(F.min(F.struct(F.coalesce("line", F.lit(1 << 40)).alias("line"), "id", "number")).alias("at"), F.first("words").alias("words"))
+    ranged = materialize(first.repartitionByRange("doc", "side", "at").withColumn("part", F.spark_partition_id()), "ranged")
+    whole = W.partitionBy("doc", "side")
+    sizes = ranged.groupBy("doc", "side", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("doc", "side", "part", F.sum("n").over(whole).cast("int").alias("total"), (F.sum("n").over(whole.orderBy("part")) - F.col("n")).cast("int").alias("before"))
+    place = F.row_number().over(W.partitionBy("doc", "side", "part").orderBy("at")) - 1 + F.col("before")
+    return materialize(ranged.join(sizes, ["doc", "side", "part"]).select("doc", "side", "said", "words", place.cast("int").alias("place"), "total"), "sentences")
+
+
+def weighted(placed: DataFrame, side: int, known: DataFrame | None, total: float) -> DataFrame:
+    """``(doc, place, at, total, digits, ws array<struct<w, x, digit, long>>)`` of one side: the words of each sentence as
+    64-bit digests with weights ``x`` that sum up to 1; ``at`` is the place as a share of the document, ``digits`` the
+    weight of the numbers before that. Rare words weigh more; before anything is known numbers weigh most."""
+    own = placed.where(F.col("side") == side)
+    words = own.select("doc", "place", "total", F.explode("words").alias("word"))
+    digit = F.col("word").rlike("^[0-9]+$")
+    words = words.select("doc", "place", "total", F.xxhash64("word").alias("w"), digit.alias("digit"), (digit | (F.length("word") > 3)).alias("long"))
+    if known is None:
+        weight = F.when(F.col("digit"), 1.0).otherwise(0.2)
     else:
-        ia, ib = (np.array([1.0 if w.isdigit() else 0.2 for w in ws], np.float32) for ws in (wa, wb))
-    # of each word of one side, the best translation in each sentence of the other
-    to_b = np.stack([(t * row).max(1) for row in mb], 1) if len(wb) else np.zeros((len(wa), len(b)), np.float32)
-    to_a = np.stack([(t.T * row).max(1) for row in ma], 1) if len(wa) else np.zeros((len(wb), len(a)), np.float32)
-    cover_a = (ma * ia) @ to_b / np.maximum((ma * ia).sum(1), 1e-6)[:, None]
-    cover_b = ((mb * ib) @ to_a / np.maximum((mb * ib).sum(1), 1e-6)[:, None]).T
-    apart = np.abs(np.array([s["where"] for s in a])[:, None] - np.array([s["where"] for s in b])[None, :])
-    score = np.sqrt(cover_a * cover_b) + (0.03 * np.exp(-((apart / 0.1) ** 2)) if tables else np.exp(-((apart / 0.08) ** 2)))
-    # sentences made alike whose numbers differ, the rare ones above all, say different things
-    da, db = ([k for k, w in enumerate(ws) if w.isdigit()] for ws in (wa, wb))
-    if da and db:
-        na, nb = ma[:, da] * ia[da], mb[:, db] * ib[db]
-        shared = na @ t[np.ix_(da, db)] @ mb[:, db].T
-        least = np.minimum(na.sum(1)[:, None], nb.sum(1)[None, :])
-        clash = (least > 0) & (shared < 0.4 * least)
-        score = np.where(clash, 0.3 * score, score)
-        cover_a, cover_b = np.where(clash, 0.3 * cover_a, cover_a), np.where(clash, 0.3 * cover_b, cover_b)
-    return cover_a, cover_b, score, (wa, ma, wb, mb)
-
-
-class _Counts:
-    """Sums of word pairs, kept as arrays: words get numbers, a pair is one 64-bit key, equal keys are added up now and
-    then. Number 0 is no word."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.keys: list[np.ndarray] = []
-        self.sums: list[np.ndarray] = []
-        self.held = 0
-
-    def code(self, words: list[str]) -> np.ndarray:
-        number = self.number
-        return np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64)
-
-    def add(self, a, b, sums: np.ndarray) -> None:
-        self.keys.append(np.broadcast_to((a << 32) | b, sums.shape))
-        self.sums.append(sums.astype(np.float64))
-        self.held += len(sums)
-
-    def compact(self) -> int:
-        if self.keys:
-            keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
-            self.keys, self.sums = [keys], [np.bincount(at, np.concatenate(self.sums))]
-            self.held = len(keys)
-        return self.held
-
-    def rows(self) -> pa.RecordBatch:
-        self.compact()
-        words = pa.array([None, *self.number], pa.string())
-        keys, sums = (self.keys[0], self.sums[0]) if self.keys else (np.empty(0, np.int64), np.empty(0))
-        return pa.RecordBatch.from_arrays([words.take(pa.array(keys >> 32)), words.take(pa.array(keys & 0xFFFFFFFF)), pa.array(sums)], names=["wa", "wb", "c"])
-
-
-def _count(batches: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
-    """Expected counts of word pairs under the alignment that ``tables`` gives; a pair with one word null counts the
-    word itself."""
-    total = _Counts()
-    for batch in _small(batches):
-        table_of = tables(batch)
-        for r, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-            _, _, score, (wa, ma, wb, mb) = match(a, b, table_of(r))
-            # soft at first, then sharper: each side spreads one count over what it is most like
-            power = 2 if table_of(r) is None else 8
-            s = np.maximum(score, 1e-6) ** power
-            soft = np.sqrt((s / s.sum(1, keepdims=True)) * (s / s.sum(0, keepdims=True)))
-            if table_of(r) is not None:
-                soft[score < 0.3] = 0
-            soft[soft < 0.1] = 0
-            c = ma.T @ soft @ mb
-            i, j = np.nonzero(c > 0.08)
-            ka, kb = total.code(wa), total.code(wb)
-            total.add(ka[i], kb[j], c[i, j])
-            total.add(ka, np.int64(0), ma.T @ soft.sum(1))
-            total.add(np.int64(0), kb, mb.T @ soft.sum(0))
-            total.add(np.zeros(1, np.int64), np.int64(0), np.array([soft.sum()]))
-            if total.held > 8 * HELD_COUNTS and total.compact() > HELD_COUNTS:
-                yield total.rows()
-                total = _Counts()
-    yield total.rows()
-
-
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows: a row holds whole blocks of sentences."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
-def _rows(total: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["wa", "wb", "c"])
-
-
-def _estimate(counts: DataFrame) -> tuple[DataFrame, float]:
-    """``(wa, wb, s, na, nb)``: the best translations of each word by association c / sqrt(na nb), from either side."""
-    total = counts.where("wa IS NULL AND wb IS NULL").agg(F.sum("c")).first()[0] or 0.0
-    na = counts.where("wa IS NOT NULL AND wb IS NULL").select("wa", F.col("c").alias("na"))
-    nb = counts.where("wa IS NULL AND wb IS NOT NULL").select("wb", F.col("c").alias("nb"))
-    s = counts.where("wa IS NOT NULL AND wb IS NOT NULL AND c > 0.3").join(na, "wa").join(nb, "wb").select("wa", "wb", "na", "nb", (F.col("c") / F.sqrt(F.col("na") * F.col("nb") + 0.5)).alias("s")).where(F.col("s") >= LEAST_ASSOCIATION)
-    ra = F.row_number().over(W.partitionBy("wa").orderBy(F.desc("s"), "wb"))
-    rb = F.row_number().over(W.partitionBy("wb").orderBy(F.desc("s"), "wa"))
-    kept = s.withColumn("ra", ra).withColumn("rb", rb).where((F.col("ra") <= TRANSLATIONS) & (F.col("rb") <= 2 * TRANSLATIONS))
-    return materialize(kept.select("wa", "wb", "s", "na", "nb"), "translations"), float(total)
-
-
-def _with_tables(blocks: DataFrame, table: DataFrame | None, total: float):
-    """The blocks and a function that gives each row its tables: shared ones if they are small enough, else the rows
-    of the table that its words need, joined by word."""
+        words = words.join(known, "w", "left")
+        told = F.log(1 + total / (1 + F.coalesce("n", F.lit(0.0))))
+        weight = F.when(F.col("digit") | F.col("translated"), told).otherwise(0.5 * math.log(1 + total / 2) if total else 1.0)
+    words = words.withColumn("x", weight.cast("float"))
+    per = words.groupBy("doc", "place").agg(F.first("total").alias("total"), F.sum("x").alias("all"), F.coalesce(F.sum(F.when(F.col("digit"), F.col("x"))), F.lit(0.0)).alias("digits"), F.collect_list(F.struct("w", "x", "digit", "long")).alias("ws"))
+    return per.select("doc", "place", (F.col("place") / F.col("total")).cast("float").alias("at"), "total", F.col("digits").cast("float").alias("digits"), F.col("all").cast("float").alias("all"), "ws")
+
+
+def postings(side: DataFrame, mark: str) -> DataFrame:
+    """The inverted file of one side: ``(doc, w, p, x, digit, raw, at, digits)``, a row for each word of each sentence."""
+    rows = side.select("doc", F.col("place").alias(f"p{mark}"), F.col("at").alias(f"at{mark}"), F.col("digits").alias(f"d{mark}"), "all", F.explode("ws").alias("e"))
+    return rows.select("doc", F.col("e.w").alias("w"), f"p{mark}", f"at{mark}", f"d{mark}", (F.col("e.x") / F.col("all")).cast("float").alias("x"), F.when(F.col("e.digit"), F.col("e.x")).otherwise(0.0).cast("float").alias("raw"))
+
+
+def translated(side: DataFrame, mark: str, table: DataFrame | None) -> DataFrame:
+    """The weighted bag of words of the other language that each sentence becomes: ``(doc, w, p, t, at, digits)``. Of
+    several words that give one, the best counts. Equal tokens (numbers, names) translate each other."""
+    rows = side.select("doc", F.col("place").alias(f"p{mark}"), F.col("at").alias(f"at{mark}"), F.col("digits").alias(f"d{mark}"), F.explode("ws").alias("e"))
+    rows = rows.select("doc", F.col("e.w").alias("w"), f"p{mark}", f"at{mark}", f"d{mark}", F.col("e.long").alias("long"))
+    info = [f"p{mark}", f"at{mark}", f"d{mark}"]
+    same = rows.select("doc", "w", *info, F.when(F.col("long"), 1.0).otherwise(0.5).cast("float").alias("t"))
     if table is None:
-        return blocks, lambda batch: lambda r: None
-    if table.count() <= MOST_SHARED:
-        shared = blocks.sparkSession.sparkContext.broadcast([tuple(r) for r in table.collect()])
-        kept: list[Tables] = []
-
-        def tables(batch):
-            if not kept:
-                kept.append(Tables(shared.value, total))
-            return lambda r: kept[0]
-
-        return blocks, tables
-    words = blocks.select("key", "na", "nb", F.explode(F.array_distinct(F.flatten("a.words"))).alias("wa"))
-    own = words.join(table.withColumnRenamed("na", "fa").withColumnRenamed("nb", "fb"), "wa").groupBy("key", "na", "nb").agg(F.collect_list(F.struct("wa", "wb", "s", "fa", "fb")).alias("t"))
-
-    def joined(batch):
-        rows = batch.column("t").to_pylist()
-        return lambda r: Tables([tuple(x.values()) for x in rows[r] or ()], total)
-
-    return blocks.join(own, ["key", "na", "nb"], "left"), joined
+        return same
+    to = rows.join(table, "w").select("doc", F.col("to").alias("w"), *info, "t")
+    return same.unionByName(to).repartition("doc", "w").groupBy("doc", "w", *info).agg(F.max("t").alias("t"))
+
+
+def scored_pairs(a: DataFrame, b: DataFrame, table: DataFrame | None) -> DataFrame:
+    """``(doc, pa, pb, ca, cb, score)``: how much of each sentence of ``a`` a sentence of ``b`` covers, the other way, and
+    their score, for all pairs that share a translation. Both directions go through the inverted files: the bag of each
+    sentence meets the sentences of the other side that hold one of its words, and what these weigh is added up."""
+    there = table.select(F.col("wa").alias("w"), F.col("wb").alias("to"), "t") if table is not None else None
+    back = table.select(F.col("wb").alias("w"), F.col("wa").alias("to"), "t") if table is not None else None
+    zero = F.lit(0.0).cast("float")
+    forth = translated(a, "a", there).join(postings(b, "b"), ["doc", "w"])
+    forth = forth.select("doc", "pa", "pb", zero.alias("ca"), (F.col("x") * F.col("t")).alias("cb"), zero.alias("shared"), "ata", "atb", "da", "db")
+    over = translated(b, "b", back).join(postings(a, "a"), ["doc", "w"])
+    over = over.select("doc", "pa", "pb", (F.col("x") * F.col("t")).alias("ca"), zero.alias("cb"), (F.col("raw") * F.col("t")).alias("shared"), "ata", "atb", "da", "db")
+    rows = forth.unionByName(over)
+    if table is None:
+        even = F.round(F.col("at") * F.col("tb")).cast("int")
+        around = F.explode(F.sequence(even - BAND, even + BAND))
+        near = a.join(b.groupBy("doc").agg(F.max("total").alias("tb")), "doc").select("doc", F.col("place").alias("pa"), F.col("at").alias("ata"), F.col("digits").alias("da"), around.alias("pb"))
+        other = b.select("doc", F.col("place").alias("pb"), F.col("at").alias("atb"), F.col("digits").alias("db"))
+        band = near.join(other, ["doc", "pb"]).select("doc", "pa", "pb", zero.alias("ca"), zero.alias("cb"), zero.alias("shared"), "ata", "atb", "da", "db")
+        rows = rows.unionByName(band)
+    pairs = rows.groupBy("doc", "pa", "pb").agg(*(F.sum(c).alias(c) for c in ("ca", "cb", "shared")), *(F.max(c).alias(c) for c in ("ata", "atb", "da", "db")))
+    apart = F.col("ata") - F.col("atb")
+    bonus = 0.03 * F.exp(-F.pow(apart / 0.1, 2)) if table is not None else F.exp(-F.pow(apart / 0.08, 2))
+    # sentences made alike whose numbers differ, the rare ones above all, say different things
+    least = F.least("da", "db")
+    trust = F.when((least > 0) & (F.col("shared") < 0.4 * least), 0.3).otherwise(1.0)
+    return pairs.select("doc", "pa", "pb", (F.col("ca") * trust).alias("ca"), (F.col("cb") * trust).alias("cb"), (trust * (F.sqrt(F.col("ca") * F.col("cb")) + bonus)).alias("score"))
+
+
+def learn(pairs: DataFrame, a: DataFrame, b: DataFrame, power: int) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """``(table, known a, known b, total)`` from the alignment that ``pairs`` gives: each side spreads one count over what it
+    is most like. ``table`` holds ``wa, wb, t``: of each word its best translations by association c / sqrt(na nb), from
+    either side, weighted relative to the best of either word and less for weak ones; ``known`` holds ``w, n,
+    translated``."""
+    s = F.pow(F.col("score"), power)
+    share = F.sqrt(s / F.sum(s).over(W.partitionBy("doc", "pa")) * s / F.sum(s).over(W.partitionBy("doc", "pb")))
+    soft = pairs.where(F.col("score") >= (LEAST_TEACHING if power > 2 else 0.05)).select("doc", "pa", "pb", share.alias("soft")).where(F.col("soft") >= LEAST_SHARE)
+    wa = a.select("doc", F.col("place").alias("pa"), F.col("ws").alias("wa"))
+    wb = b.select("doc", F.col("place").alias("pb"), F.col("ws").alias("wb"))
+    taught = materialize(soft.join(wa, ["doc", "pa"]).join(wb, ["doc", "pb"]).select("soft", "wa", "wb"), "taught")
+    total = taught.agg(F.sum("soft")).first()[0] or 0.0
+    word = lambda c: taught.select("soft", F.explode(c).alias("e")).groupBy(F.col("e.w").alias("w")).agg(F.sum("soft").alias("n"))
+    na, nb = materialize(word("wa"), "words-a"), materialize(word("wb"), "words-b")
+    # numbers translate only themselves
+    counts = taught.select("soft", F.explode("wa").alias("a"), "wb").where(~F.col("a.digit")).select("soft", F.col("a.w").alias("wa"), F.explode("wb").alias("b")).where(~F.col("b.digit"))
+    counts = counts.groupBy("wa", F.col("b.w").alias("wb")).agg(F.sum("soft").alias("c")).where("c > 0.3")
+    linked = counts.join(na.withColumnsRenamed({"w": "wa", "n": "na"}), "wa").join(nb.withColumnsRenamed({"w": "wb", "n": "nb"}), "wb")
+    linked = linked.select("wa", "wb", (F.col("c") / F.sqrt(F.col("na") * F.col("nb") + 0.5)).alias("s")).where(F.col("s") >= LEAST_ASSOCIATION)
+    of_a, of_b = W.partitionBy("wa"), W.partitionBy("wb")
+    ranked = linked.withColumn("ra", F.row_number().over(of_a.orderBy(F.desc("s"), "wb"))).withColumn("rb", F.row_number().over(of_b.orderBy(F.desc("s"), "wa"))).where((F.col("ra") <= TRANSLATIONS) & (F.col("rb") <= 2 * TRANSLATIONS))
+    best = F.greatest(F.col("s") / F.max("s").over(of_a), F.col("s") / F.max("s").over(of_b))
+    table = materialize(ranked.select("wa", "wb", (best * F.least(F.lit(1.0), 0.4 + F.col("s"))).cast("float").alias("t")), "translations")
+    known = lambda n, c: n.join(table.select(F.col(c).alias("w")).distinct().withColumn("translated", F.lit(True)), "w", "left").select("w", "n", F.coalesce("translated", F.lit(False)).alias("translated"))
+    return F.broadcast(table) if table.count() <= MOST_SHARED else table, known(na, "wa"), known(nb, "wb"), float(total)
+
+
+def grown(choices: DataFrame, at: str, partner: str, core: DataFrame) -> DataFrame:
+    """``choices`` of one side that belong to a merge: runs of neighbouring sentences with one partner, of which one stands
+    and the others are covered by it. A run is as long as it is, so a sentence may merge any number."""
+    marked = choices.join(core.select("doc", "pa", "pb").withColumn("stands", F.lit(True)), ["doc", "pa", "pb"], "left")
+    fit = marked.where(F.col("stands") | (F.col("c" + at[1]) >= LEAST_COVERED))
+    run = F.col(at) - F.row_number().over(W.partitionBy("doc", partner).orderBy(at))
+    kept = F.max(F.coalesce("stands", F.lit(False))).over(W.partitionBy("doc", partner, "run"))
+    return fit.withColumn("run", run).withColumn("kept", kept).where("kept").select("doc", "pa", "pb", "score")
 
 
 def align_sentences(chunks: DataFrame, languages: tuple[str, str] = ("ro", "en"), id_col: str = "chunk_id", path_col: str = "source_relative_path", lang_col: str = "language", text_col: str = "text", line_col: str | None = "line_start", rounds: int = ROUNDS) -> DataFrame:
@@ -287,54 +212,30 @@ def align_sentences(chunks: DataFrame, languages: tuple[str, str] = ("ro", "en")
 
     Counterparts are found by path (``counterpart_key``). Translation tables are learned from all pairs of documents in
     ``rounds`` passes: at first from sentences at like places and with like numbers, then from the alignment of the
-    pass before. Each sentence then finds its best partner in both directions; pairs that choose each other stand, and
-    neighbours of a standing sentence join its partner where they choose it and it covers them, so merged and split
-    sentences give several pairs. Sentences without a partner give none; order is only a slight preference.
+    pass before. Each sentence then finds its best partner in both directions (ties go to the earlier one); pairs that
+    choose each other stand, and neighbours of a standing sentence join its partner where they choose it and it covers
+    them, so merged and split sentences give several pairs. Sentences without a partner give none; order is only a slight
+    preference.
 
     A sentence that stands in several chunks of its document (copies, older versions) counts once in the alignment and
     gives a pair for each place. Rows with a null path, text or language, and documents without a counterpart, give
-    nothing; with no pair of documents the result is empty. Long documents are matched block by block, so a document
-    that holds a third of all rows is spread over many tasks.
+    nothing; with no pair of documents the result is empty. Everything is joined by document and word or by document and
+    sentence, so a document that holds a third of all rows is spread over many tasks.
     """
     sentences = materialize(paired_sentences(chunks, languages, id_col, path_col, lang_col, text_col, line_col), "paired")
-    blocks, placed = _blocks(sentences, languages)
-    slots = max(blocks.sparkSession.sparkContext.defaultParallelism, 1)
-    blocks = materialize(blocks.repartition(slots * 2 if blocks.count() < 200_000 else max(slots * 2, blocks.count() // 20_000), "key", "na", "nb"), "spread")
-    table, total = None, 0.0
-    for _ in range(rounds):
-        rows, tables = _with_tables(blocks, table, total)
-        counts = rows.mapInArrow(lambda it, tables=tables: _count(it, tables), "wa string, wb string, c double").groupBy("wa", "wb").agg(F.sum("c").alias("c"))
-        table, total = _estimate(materialize(counts, "word-pairs"))
-    rows, tables = _with_tables(blocks, table, total)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            table_of = tables(batch)
-            out = []
-            for r, (key, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b")))):
-                ca, cb, score, _ = match(a, b, table_of(r))
-                for i, j in enumerate(score.argmax(1).tolist()):
-                    out.append((key, "a", a[i]["place"], b[j]["place"], float(score[i, j]), float(ca[i, j]), float(cb[i, j])))
-                for j, i in enumerate(score.argmax(0).tolist()):
-                    out.append((key, "b", a[i]["place"], b[j]["place"], float(score[i, j]), float(ca[i, j]), float(cb[i, j])))
-            cols = list(zip(*out)) if out else [()] * 7
-            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "side", "pa", "pb", "score", "ca", "cb"])
-
-    chosen = materialize(rows.mapInArrow(choose, "key string, side string, pa int, pb int, score double, ca double, cb double"), "choices")
+    placed = placed_sentences(sentences)
+    table, known_a, known_b, total = None, None, None, 0.0
+    for k in range(rounds):
+        a, b = (materialize(weighted(placed, side, known, total), "side") for side, known in ((0, known_a), (1, known_b)))
+        table, known_a, known_b, total = learn(scored_pairs(a, b, table), a, b, 8 if k else 2)
+    a, b = (materialize(weighted(placed, side, known, total), "side") for side, known in ((0, known_a), (1, known_b)))
+    pairs = materialize(scored_pairs(a, b, table).where("score >= 0.1 OR ca >= 0.5 OR cb >= 0.5"), "pairs")
     best = F.max_by(F.struct("pa", "pb", "score", "ca", "cb"), F.struct("score", -F.col("pa"), -F.col("pb")))
-    fa = chosen.where("side = 'a'").groupBy("key", F.col("pa").alias("from")).agg(best.alias("x")).select("key", "x.*")
-    fb = chosen.where("side = 'b'").groupBy("key", F.col("pb").alias("from")).agg(best.alias("x")).select("key", "x.*")
-    core = fa.join(fb.select("key", "pa", "pb"), ["key", "pa", "pb"]).where(F.col("score") >= LEAST_SCORE).select("key", "pa", "pb", "score")
-    core = materialize(core, "core")
-    # neighbours of a standing sentence that its partner covers
-    ka, kb = core.select("key", F.col("pa").alias("qa"), "pb"), core.select("key", "pa", F.col("pb").alias("qb"))
-    loose_a = fa.join(core.select("key", "pa"), ["key", "pa"], "left_anti")
-    loose_b = fb.join(core.select("key", "pb"), ["key", "pb"], "left_anti")
-    grown_a = loose_a.join(ka, ["key", "pb"]).where((F.abs(F.col("pa") - F.col("qa")) == 1) & (F.col("ca") >= LEAST_COVERED)).select("key", "pa", "pb", "score")
-    grown_b = loose_b.join(kb, ["key", "pa"]).where((F.abs(F.col("pb") - F.col("qb")) == 1) & (F.col("cb") >= LEAST_COVERED)).select("key", "pa", "pb", "score")
-    links = core.unionByName(grown_a).unionByName(grown_b).groupBy("key", "pa", "pb").agg(F.max("score").alias("score"))
-    at = sentences.where(F.size("words") > 0).withColumn("said", F.array_join("words", " ")).select("key", "language", "said", "id", "number").join(placed.select("key", "language", "said", "place"), ["key", "language", "said"])
-    sa = at.where(F.col("language") == languages[0]).select("key", F.col("place").alias("pa"), F.col("id").alias(f"{id_col}_a"), F.col("number").alias("sentence_a"))
-    sb = at.where(F.col("language") == languages[1]).select("key", F.col("place").alias("pb"), F.col("id").alias(f"{id_col}_b"), F.col("number").alias("sentence_b"))
-    return links.join(sa, ["key", "pa"]).join(sb, ["key", "pb"]).select(f"{id_col}_a", "sentence_a", f"{id_col}_b", "sentence_b", "score").distinct()
+    fa = materialize(pairs.groupBy("doc", F.col("pa").alias("from")).agg(best.alias("x")).select("doc", "x.*"), "choices-a")
+    fb = materialize(pairs.groupBy("doc", F.col("pb").alias("from")).agg(best.alias("x")).select("doc", "x.*"), "choices-b")
+    core = materialize(fa.join(fb.select("doc", "pa", "pb"), ["doc", "pa", "pb"]).where(F.col("score") >= LEAST_SCORE).select("doc", "pa", "pb", "score"), "core")
+    links = core.unionByName(grown(fa, "pa", "pb", core)).unionByName(grown(fb, "pb", "pa", core)).groupBy("doc", "pa", "pb").agg(F.max("score").alias("score"))
+    at = sentences.where(F.size("words") > 0).select("doc", "side", said("words").alias("said"), "id", "number").join(placed.select("doc", "side", "said", "place"), ["doc", "side", "said"])
+    sa = at.where("side = 0").select("doc", F.col("place").alias("pa"), F.col("id").alias(f"{id_col}_a"), F.col("number").alias("sentence_a"))
+    sb = at.where("side = 1").select("doc", F.col("place").alias("pb"), F.col("id").alias(f"{id_col}_b"), F.col("number").alias("sentence_b"))
+    return links.join(sa, ["doc", "pa"]).join(sb, ["doc", "pb"]).select(f"{id_col}_a", "sentence_a", f"{id_col}_b", "sentence_b", "score").distinct()
