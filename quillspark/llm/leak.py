@@ -5,22 +5,27 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 13  # words of the smallest passage that counts
+WINDOW = 13  # words of the smallest passage of a longer item that counts
 SHINGLE = 5
-RADIUS = 3  # Hamming distance within which every fingerprint is found
 SIMILARITY = 0.8
-#: Items of one block, whose windows go to every task; more items than that are taken block by block.
-BLOCK_ITEMS = 4096
-#: Characters of one block, in the same way.
-BLOCK_CHARS = 8_000_000
+#: Hamming distance within which every fingerprint is found. Texts of similarity s have bits that differ with a chance of
+#: arccos(2 s / (1 + s)) / pi: 9.7 of 64 at 0.8, so that 15 or fewer differ in 98 % of such pairs.
+RADIUS = 15
+#: Blocks of the 64 bits. Of fingerprints within ``RADIUS`` one block at least differs in ``RADIUS // BLOCKS`` bits or fewer.
+BLOCKS = 8
+#: Items of one pass over the documents, and characters of them; they go to every task.
+BLOCK_ITEMS, BLOCK_CHARS = 8192, 8_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
@@ -41,172 +46,248 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each run of five word ids."""
-    n = len(ids) - SHINGLE + 1
+def shingles(ids: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A 64-bit value for each run of ``size`` word ids."""
+    n = len(ids) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     h = np.zeros(n, np.uint64)
     base = _mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    for k in range(SHINGLE):
+    for k in range(size):
         h = h * np.uint64(0x100000001B3) + base[k : k + n]
     return _mix(h)
 
 
-def fingerprints(sh: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """SimHash of every window of ``WINDOW`` words, from the values and weights of the shingles of a text."""
-    span = WINDOW - SHINGLE + 1
-    if len(sh) < span:
-        return np.empty(0, np.uint64)
-    bits = np.unpackbits(sh.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
-    total = np.zeros((len(sh) + 1, 64), np.int32)
-    np.cumsum(bits * weight[:, None].astype(np.int32), axis=0, out=total[1:])
-    return np.packbits((total[span:] - total[:-span]) > 0, axis=1).view(np.uint64).ravel()
+def _running(values: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)))
 
 
-class ItemIndex:
-    """Windows of a block of items with their SimHash values, in one sorted list per block of fingerprint bits.
+class Bits:
+    """SimHash of windows of a text, from the values and weights of its shingles; ``used`` marks the shingles that the
+    windows asked for consist of, so that nothing is summed up for the others."""
 
-    The 64 bits fall into ``RADIUS + 1`` blocks: two fingerprints within ``RADIUS`` agree in one of them at least, so
-    looking up all blocks misses none.
-    """
+    def __init__(self, sh: np.ndarray, weight: np.ndarray, used: np.ndarray | None = None):
+        self.place = None
+        if used is not None:
+            self.place, sh, weight = _running(used), sh[used], weight[used]
+        bits = np.unpackbits(sh.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+        bits *= 2
+        bits -= 1
+        bits *= weight[:, None].astype(np.int32)
+        self.total = np.zeros((len(sh) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=self.total[1:])
+
+    def windows(self, at: np.ndarray, words: int) -> np.ndarray:
+        """Fingerprints of the windows of ``words`` words that begin at ``at``."""
+        begin = at if self.place is None else self.place[at]
+        return np.packbits(self.total[begin + words - SHINGLE + 1] > self.total[begin], axis=1).view(np.uint64).ravel()
+
+
+class HammingIndex:
+    """Fingerprints in one sorted list per block of bits. Looking up each block with up to ``RADIUS // BLOCKS`` of its bits
+    turned finds all fingerprints within ``RADIUS``."""
+
+    width = 64 // BLOCKS
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks
+        self.tables = []
+        for k in range(BLOCKS):
+            part = self._block(marks, k)
+            order = np.argsort(part, kind="stable")
+            self.tables.append((part[order], order))
+        turns = range(RADIUS // BLOCKS + 1)
+        self.turned = np.array([sum(1 << b for b in bits) for n in turns for bits in combinations(range(self.width), n)], np.uint64)
+
+    def _block(self, marks: np.ndarray, k: int) -> np.ndarray:
+        return (marks >> np.uint64(self.width * k)) & np.uint64((1 << self.width) - 1)
+
+    def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (position in ``marks``, position in the index) within ``RADIUS``."""
+        found = []
+        for lo in range(0, len(marks), 512):
+            some = marks[lo : lo + 512]
+            for k, (part, order) in enumerate(self.tables):
+                key = (self._block(some, k)[:, None] ^ self.turned[None]).ravel()
+                first, last = np.searchsorted(part, key, "left"), np.searchsorted(part, key, "right")
+                n = last - first
+                a = np.repeat(np.repeat(np.arange(len(some)), len(self.turned)), n)
+                b = order[np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                close = np.bitwise_count(some[a] ^ self.marks[b]) <= RADIUS
+                found.append((a[close] + lo) * len(self.marks) + b[close])
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        return pairs // max(len(self.marks), 1), pairs % max(len(self.marks), 1)
+
+
+class ItemIndex:
+    """The windows of a block of items: of each item one of its own size, and of longer ones all of ``WINDOW`` words, by
+    size. Items of fewer words than a shingle are kept as they are, to be found exactly."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        texts = [(i, words(t)) for i, t in items if t]
+        texts = [(i, ws) for i, t in items if t and (ws := words(t))]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}), 1)}
         self.ids = [i for i, _ in texts]
-        coded = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in texts]
-        counts = Counter(int(s) for ids in coded for s in set(shingles(ids).tolist()))
+        self.coded = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in texts]
+        counts = Counter(int(s) for ids in self.coded for s in set(shingles(ids).tolist()))
         self.shingle_keys = np.array(sorted(counts), np.uint64)
         # rarer shingles weigh more, in whole numbers so that sums are exact
         self.shingle_weight = np.array([1 + round(2 * math.log1p(len(texts) / counts[int(k)])) for k in self.shingle_keys], np.int64)
-        owner, begin, marks = [], [], []
-        for n, ids in enumerate(coded):
-            fp = self.fingerprint(ids)
-            owner.append(np.full(len(fp), n))
-            begin.append(np.arange(len(fp)))
-            marks.append(fp)
-        self.owner, self.begin, self.marks = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (owner, begin, marks))
-        self.marks = self.marks.astype(np.uint64)
-        self.coded = coded
-        width = 64 // (RADIUS + 1)
-        self.shifts = [np.uint64(width * k) for k in range(RADIUS + 1)]
-        self.mask = np.uint64((1 << width) - 1)
-        self.tables = []
-        for s in self.shifts:
-            part = (self.marks >> s) & self.mask
-            order = np.argsort(part, kind="stable")
-            self.tables.append((part[order], order))
-
-    def weights(self, sh: np.ndarray) -> np.ndarray:
+        rows = []
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for n, ids in enumerate(self.coded):
+            if len(ids) < SHINGLE:
+                self.short[len(ids)][int(shingles(ids, len(ids))[0])].append(n)
+                continue
+            sh = shingles(ids)
+            bits = Bits(sh, self.weights(sh)[0])
+            for size in {len(ids), min(WINDOW, len(ids))}:
+                at = np.arange(len(ids) - size + 1)
+                rows.append((np.full(len(at), size), np.full(len(at), n), at, bits.windows(at, size)))
+        none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
+        self.size, self.owner, self.begin, self.marks = (np.concatenate(c) for c in zip(*rows)) if rows else none
+        self.sizes = np.unique(self.size).tolist()
+        self.near = HammingIndex(self.marks).near
+        # of each size the shingles of the items that have windows of it
+        self.keys = {size: np.unique(np.concatenate([shingles(self.coded[n]) for n in np.unique(self.owner[self.size == size])])) for size in self.sizes}
+
+    def weights(self, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of shingles, 1 for those that no item has, and whether an item has them."""
         if not len(self.shingle_keys):
-            return np.ones(len(sh), np.int64)
+            return np.ones(len(sh), np.int64), np.zeros(len(sh), bool)
         at = np.minimum(np.searchsorted(self.shingle_keys, sh), len(self.shingle_keys) - 1)
-        return np.where(self.shingle_keys[at] == sh, self.shingle_weight[at], 1)
-
-    def fingerprint(self, ids: np.ndarray) -> np.ndarray:
-        sh = shingles(ids)
-        return fingerprints(sh, self.weights(sh))
-
-    def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (position in ``marks``, item window) of fingerprints within ``RADIUS``."""
-        left, right = [], []
-        for s, (part, order) in zip(self.shifts, self.tables):
-            key = (marks >> s) & self.mask
-            lo, hi = np.searchsorted(part, key, "left"), np.searchsorted(part, key, "right")
-            n = hi - lo
-            if not n.any():
-                continue
-            a = np.repeat(np.arange(len(marks)), n)
-            b = order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            x = (marks[a] ^ self.marks[b]).view(np.uint8).reshape(-1, 8)
-            close = _POPCOUNT[x].sum(1) <= RADIUS
-            left.append(a[close])
-            right.append(b[close])
-        if not left:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        known = self.shingle_keys[at] == sh
+        return np.where(known, self.shingle_weight[at], 1), known
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         """Weighted Jaccard similarity of the shingles of two windows of word ids."""
-        x, y = set(shingles(a).tolist()), set(shingles(b).tolist())
-        if not x or not y:
-            return 0.0
-        w = lambda s: float(self.weights(np.array(sorted(s), np.uint64)).sum()) if s else 0.0
-        return w(x & y) / w(x | y)
-
+        x, y = np.unique(shingles(a)), np.unique(shingles(b))
+        both = np.concatenate((np.intersect1d(x, y, assume_unique=True), np.empty(0, np.uint64)))
+        w = lambda s: int(self.weights(s)[0].sum())
+        return w(both) / (w(x) + w(y) - w(both)) if len(x) and len(y) else 0.0
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    def code(self, text: str) -> list[int]:
+        """Word ids of a text; words that no item has get ids of their own beyond the vocabulary."""
+        get, beyond = self.vocabulary.get, len(self.vocabulary) + 1
+        return [get(w) or beyond + crc32(w.encode()) for w in words(text)]
 
 
-#: Words fingerprinted at once; bounds the memory of a task whatever the batch.
-CHUNK_WORDS = 60_000
+#: Words matched at once; bounds the memory of a task whatever the batch.
+CHUNK_WORDS = 250_000
 
 
 def passages(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
     """``(position of the text, item, similarity, run, windows)`` of the items of which a text holds a passage: the
-    best similarity of a window pair, the longest run of equal words, and how many windows of the text match."""
-    get = index.vocabulary.get
+    best similarity of a window pair, the longest run of equal words, and how many windows of the text are equal to one
+    of the item, or near where none is equal."""
     found: dict[tuple[int, int], list] = {}
-    parts: list[np.ndarray] = []
-    origin: list[tuple[int, int, np.ndarray]] = []
-    size = 0
+    longest = max([*index.sizes, *index.short], default=0)
+    parts: list[tuple[int, list[int]]] = []
+    held = 0
     for n, text in enumerate(texts):
-        ids = np.array([get(w, 0) for w in words(text)] if text else [], np.int64)
-        if len(ids) < WINDOW:
+        ids = index.code(text) if text else []
+        if not ids:
             continue
-        # one foreign word in the middle of a window is in five of its nine shingles, two are in more: such windows
-        # can't reach SIMILARITY, those with one foreign word (at an edge) still can
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        good = (known[WINDOW:] - known[:-WINDOW]) >= WINDOW - 1
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], good.view(np.int8), [0]))))
-        for lo, hi in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            for at in range(lo, hi, CHUNK_WORDS):
-                part = ids[at : min(hi, at + CHUNK_WORDS) + WINDOW - 1]
-                parts.append(part)
-                origin.append((n, at, ids))
-                size += len(part)
-                if size >= CHUNK_WORDS:
-                    _match(index, parts, origin, found)
-                    parts, origin, size = [], [], 0
+        for at in range(0, max(1, len(ids) - longest + 1), CHUNK_WORDS):  # parts overlap by the longest window
+            part = ids[at : at + CHUNK_WORDS + longest - 1]
+            parts.append((n, part))
+            held += len(part)
+            if held >= CHUNK_WORDS:
+                _match(index, parts, found)
+                parts, held = [], 0
     if parts:
-        _match(index, parts, origin, found)
+        _match(index, parts, found)
     return [(n, index.ids[i], s, run, len(at)) for (n, i), (s, run, at) in found.items()]
 
 
-def _match(index: ItemIndex, parts: list[np.ndarray], origin: list[tuple[int, int, np.ndarray]], found: dict) -> None:
-    begins = np.cumsum([0] + [len(p) for p in parts])
-    marks = index.fingerprint(np.concatenate(parts))
-    where = np.arange(len(marks))
-    part = np.searchsorted(begins, where, "right") - 1
-    inside = where + WINDOW <= begins[part + 1]  # windows over the end of a part are none of the text
-    where, part = where[inside], part[inside]
-    at, win = index.near(marks[inside])
-    for a, w in zip(at.tolist(), win.tolist()):
-        n, lo, ids = origin[part[a]]
-        begin = lo + int(where[a] - begins[part[a]])
-        i, b = int(index.owner[w]), int(index.begin[w])
-        mine, theirs = ids[begin : begin + WINDOW], index.coded[i][b : b + WINDOW]
-        equal = bool((mine == theirs).all())
-        s = 1.0 if equal else index.similarity(mine, theirs)
-        if s < SIMILARITY:
-            continue
-        best = found.setdefault((n, i), [0.0, 0, set()])
-        best[0] = max(best[0], s)
-        best[2].add(begin)
-        best[1] = max(best[1], _run(ids, begin, index.coded[i], b) if equal else _longest(mine, theirs))
+def _match(index: ItemIndex, parts: list[tuple[int, list[int]]], found: dict) -> None:
+    ids = np.array([i for _, p in parts for i in p], np.int64)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for _, p in parts])
+    for size, keys in index.short.items():
+        values = shingles(ids, size)
+        at = np.flatnonzero(np.isin(values, np.array(sorted(keys), np.uint64)))
+        for k in at[owner[at] == owner[at + size - 1]].tolist():
+            for i in keys[int(values[k])]:
+                best = found.setdefault((parts[owner[k]][0], i), [1.0, size, set()])
+                best[2].add((owner[k], k))
+    sh = shingles(ids)
+    if not len(sh):
+        return
+    weight, known = index.weights(sh)
+    if not known.any():
+        return
+    total, known = _running(weight), np.flatnonzero(known)
+    begins: list[np.ndarray] = []
+    used = np.zeros(len(sh) + 1, np.int64)
+    for size in index.sizes:
+        span = size - SHINGLE + 1
+        # the shingles that two windows share weigh at most what those of items in one do: less can't reach SIMILARITY
+        theirs = known[np.isin(sh[known], index.keys[size])]
+        of_items = np.zeros(len(sh), np.int64)
+        of_items[theirs] = weight[theirs]
+        held = _running(of_items)
+        at = np.flatnonzero(held[span:] - held[:-span] >= SIMILARITY * (total[span:] - total[:-span])) if len(sh) >= span else np.empty(0, np.int64)
+        at = at[owner[at] == owner[at + size - 1]]  # windows over the end of a part are none of the text
+        begins.append(at)
+        np.add.at(used, at, 1)
+        np.add.at(used, at + span, -1)
+    if not any(map(len, begins)):
+        return
+    bits = Bits(sh, weight, np.cumsum(used)[:-1] > 0)
+    at = np.concatenate(begins)
+    sizes = np.repeat(index.sizes, [len(x) for x in begins])
+    marks, back = np.unique(np.concatenate([bits.windows(x, size) for x, size in zip(begins, index.sizes)]), return_inverse=True)
+    a, wins = index.near(marks)
+    members = np.argsort(back, kind="stable")
+    first = np.searchsorted(back[members], np.arange(len(marks) + 1))
+    n = first[a + 1] - first[a]
+    which = members[np.repeat(first[a] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+    wins = np.repeat(wins, n)
+    fit = sizes[which] == index.size[wins]
+    places, wins = at[which[fit]], wins[fit]
+    starts = np.concatenate(([0], np.cumsum([len(c) for c in index.coded])))[:-1]
+    items = np.concatenate(index.coded)
+    item_sh = np.concatenate([shingles(items), np.zeros(SHINGLE, np.uint64)])
+    inside = starts[index.owner[wins]] + index.begin[wins]
+    # equal windows have equal shingles: compared as running sums of their values, then word by word
+    same = np.zeros(len(places), bool)
+    for size in index.sizes:
+        pick = np.flatnonzero(index.size[wins] == size)
+        pick = pick[(sh[places[pick]] == item_sh[inside[pick]]) & (sh[places[pick] + size - SHINGLE] == item_sh[inside[pick] + size - SHINGLE])]
+        for lo in range(0, len(pick), 8192):
+            p = pick[lo : lo + 8192]
+            k = np.arange(size)
+            same[p] = (ids[places[p][:, None] + k] == items[inside[p][:, None] + k]).all(1)
+    runs: dict[tuple[int, int, int], int] = {}
+    for equal in (True, False):
+        pick = same == equal
+        for k, q in zip(places[pick].tolist(), wins[pick].tolist()):
+            i, x, size = int(index.owner[q]), int(index.begin[q]), int(index.size[q])
+            part = int(owner[k])
+            key = (parts[part][0], i)
+            best = found.get(key)
+            if not equal and best and best[0] == 1.0:
+                continue  # nothing nearer to be found
+            theirs = index.coded[i]
+            s = 1.0 if equal else index.similarity(ids[k : k + size], theirs[x : x + size])
+            if s < SIMILARITY:
+                continue
+            if not best or s == 1.0 > best[0]:
+                best = found[key] = [s, best[1] if best else 0, set()]
+            best[0] = max(best[0], s)
+            best[2].add((part, k))
+            if not equal:
+                run = _longest(ids[k : k + size], theirs[x : x + size])
+            elif (run := runs.get((part, i, k - x))) is None:  # windows of one run lie on one diagonal
+                run = runs[part, i, k - x] = _longest_on(ids, owner, k, theirs, x)
+            best[1] = max(best[1], run)
 
 
-def _run(ids: np.ndarray, a: int, item: np.ndarray, b: int) -> int:
-    """Length of the run of equal words that holds the equal windows at ``a`` and ``b``."""
-    left = 0
-    while a - left > 0 and b - left > 0 and ids[a - left - 1] == item[b - left - 1]:
-        left += 1
-    right = WINDOW
-    while a + right < len(ids) and b + right < len(item) and ids[a + right] == item[b + right]:
-        right += 1
-    return left + right
+def _longest_on(ids: np.ndarray, owner: np.ndarray, a: int, item: np.ndarray, b: int) -> int:
+    """The longest run of equal words where an item lies so along a text that word ``b`` of it meets word ``a``."""
+    left = min(a, b)
+    n = min(len(ids) - a, len(item) - b) + left
+    mine = slice(a - left, a - left + n)
+    return _longest(np.where(owner[mine] == owner[a], ids[mine], -1), item[b - left : b - left + n])
 
 
 def _longest(x: np.ndarray, y: np.ndarray) -> int:
@@ -217,18 +298,30 @@ def _longest(x: np.ndarray, y: np.ndarray) -> int:
     return best
 
 
+#: Indexes of this worker process, by the key sent with their items; the tasks of a stage share them.
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _index(key: str, items: list[tuple[int, str]]) -> ItemIndex:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = ItemIndex(items)
+    return _BUILT[key]
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(id_col, item_col, similarity, longest_run, windows)``: every document that holds a passage of an item.
 
-    Both texts are cut into windows of 13 words (the smallest passage that counts, so passages that hold an item only
-    in part are met), each with a SimHash of its weighted five-word shingles. Windows whose fingerprints differ in at
-    most ``RADIUS`` bits are candidates, found without a miss through ``RADIUS + 1`` blocks of bits; the exact
-    weighted similarity of their shingles, ``SIMILARITY`` at least, decides. ``longest_run`` is the longest run of
-    equal consecutive words; 13 or more mean a verbatim passage.
+    Each item gives a window of its own size and, if it has more than 13 words, all windows of 13 words, the smallest
+    passage that counts, since a part of an item is not like the whole. Documents are cut into windows of the same sizes;
+    each has a SimHash of its weighted five-word shingles. Windows whose fingerprints differ in at most ``RADIUS`` bits are
+    candidates, found without a miss through ``BLOCKS`` blocks of bits; the exact weighted similarity of their shingles,
+    ``SIMILARITY`` at least, decides. ``longest_run`` is the longest run of equal consecutive words; 13 or more mean a
+    verbatim passage. Items of one to four words are found exactly.
 
-    The items are the bounded side: they go to the tasks in blocks of at most ``BLOCK_ITEMS`` items and about
-    ``BLOCK_CHARS`` characters, as many blocks as it takes. Documents are read once per block and never shuffled.
-    Null and empty texts and texts under 13 words hold no passage; repeated rows and equal items are reported each
+    The items are the bounded side: they go to the tasks, which index them, in blocks of at most ``BLOCK_ITEMS`` items and
+    about ``BLOCK_CHARS`` characters; documents are read once for each block and never shuffled. Null and empty texts hold
+    no passage, null and empty items and those without a word are in none; repeated rows and equal items are reported each
     once per (document, item). Empty tables give no rows.
     """
     spark = documents.sparkSession
@@ -236,16 +329,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("c")).first()
     blocks = max(1, math.ceil(size.n / (BLOCK_ITEMS // 2)), math.ceil(size.c / (BLOCK_CHARS // 2))) if size.n > BLOCK_ITEMS or size.c > BLOCK_CHARS else 1
     kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((documents, id_col), (items, item_col)))
-    docs = documents.where(F.length(text_col) >= 2 * WINDOW - 1).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+    docs = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     out = None
     for k in range(blocks):
         rows = own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(ItemIndex(sorted((r.i, r.t) for r in rows)))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted((r.i, r.t) for r in rows)))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(*shared.value)
             for b in batches:
                 keys = b.column(0).to_pylist()
-                found = [(keys[n], *p) for n, *p in passages(index.value, b.column(1).to_pylist())]
+                found = [(keys[n], *p) for n, *p in passages(index, b.column(1).to_pylist())]
                 cols = list(zip(*found)) if found else [()] * 5
                 types = [b.schema.field(0).type, None, pa.float64(), pa.int32(), pa.int32()]
                 item_type = pa.int64() if item_kind in ("bigint", "long") else pa.int32() if item_kind == "int" else pa.string()
