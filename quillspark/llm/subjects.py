@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,15 @@ from quillspark.shared import bounded_sample, materialize
 
 #: Labelled documents the rules are mined from at most, picked by the hash of their id.
 TRAINING_DOCS = 6000
-#: Rules kept at most, the best supported first; what mining on ``TRAINING_DOCS`` documents can give stays below.
-MOST_RULES = 20_000
+#: One of so many of these documents is held out: no rule is mined from it, and what evidence is worth is measured on it.
+HELD_OUT = 5
 #: Words of a sentence that take part in mining: those that tell most about the class.
 MINED_WORDS = 6
 LEAST_SHARE = 1 / 6
 LEAST_WORDS = 20
 
 _SENTENCE = re.compile(r"[.!?][\"')\]]*\s+|\n\s*\n\s*|\n(?=[ \t]*(?:[-*+>|]|\d+[.)]\s))")
-_WORD = re.compile(r"[^\W_]+")
-_LETTERS = re.compile(r"^[^\W\d_]{2,}$")
+_WORD = re.compile(r"[0-9a-z]+")  # of lower-case ASCII
 _HEADING = re.compile(r"^[ \t]{0,3}#{1,6}(?:[ \t].*|)$", re.M)
 _BROKEN = re.compile("(?<=[^\\W\\d_])[-\u00ad\u2010\u00ac]\n[ \t]*(?=[^\\W\\d_])")
 _FOREIGN = re.compile("[\u0370-\u052f]")
@@ -50,7 +50,7 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def _training(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """``(doc, classes, words)`` for each sentence of the labelled sample; the classes are all that any annotator gave
+    """``(doc, held_out, classes, words)`` for each sentence of the labelled sample; the classes are all that any annotator gave
     the document, each once. Annotators err now and then: the confidence of the rules allows for that."""
     per_doc = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.collect_set(F.col(label_col).cast("long")).alias("classes"))
     sample = bounded_sample(per_doc, "doc", TRAINING_DOCS)
@@ -61,20 +61,20 @@ def _training(documents: DataFrame, labels: DataFrame, id_col: str, text_col: st
             docs, classes, words = [], [], []
             for d, t, c in zip(*(b.column(n).to_pylist() for n in ("doc", "text", "classes"))):
                 for ws in sentences(body(t)):
-                    kept = sorted({w for w in ws if _LETTERS.match(w)})
-                    if len(kept) > 1:
-                        docs.append(d)
-                        classes.append(c)
-                        words.append(kept)
+                    docs.append(d)
+                    classes.append(c)
+                    words.append(ws)
             yield pa.RecordBatch.from_arrays([pa.array(docs, b.schema.field("doc").type), pa.array(classes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))], names=["doc", "classes", "words"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return own.select("doc", "text", "classes").mapInArrow(run, f"doc {kind}, classes array<bigint>, words array<string>")
+    rows = own.select("doc", "text", "classes").mapInArrow(run, f"doc {kind}, classes array<bigint>, words array<string>")
+    return rows.withColumn("held_out", F.pmod(F.xxhash64("doc", F.lit("held out")), F.lit(HELD_OUT)) == 0)
 
 
-def mine_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject_id", confidence: float = 0.5) -> list[tuple[tuple[str, ...], int, float]]:
+def mine_rules(rows: DataFrame, confidence: float = 0.5) -> list[tuple[tuple[str, ...], int, float]]:
     """``(words, class, evidence)``: class-association rules mined by parallel FP-growth over the sentences of a
-    bounded labelled sample, redundant ones pruned.
+    bounded labelled sample (``classes, words`` of ``rows``), redundant ones pruned. The bound of the sample bounds the
+    word sets; none that is frequent is left out.
 
     A transaction is the most telling words of a sentence with the classes of its document. A frequent word set gives
     a rule for the class that its confidence lifts most over the class's base rate, if the confidence reaches
@@ -84,7 +84,7 @@ def mine_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = materialize(_training(documents, labels, id_col, text_col, label_col), "sentences")
+    rows = materialize(rows.select("classes", F.array_distinct(F.filter("words", lambda w: w.rlike("^[a-z]{2,}$"))).alias("words")).where(F.size("words") > 1), "mined")
     n = rows.count()
     if not n:
         return []
@@ -100,7 +100,7 @@ def mine_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             telling[r.w] = lift
     if not telling:
         return []
-    shared = documents.sparkSession.sparkContext.broadcast(telling)
+    shared = rows.sparkSession.sparkContext.broadcast(telling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,7 +117,7 @@ def mine_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     split = sets.select(F.filter("items", lambda x: ~x.startswith("#")).alias("w"), F.filter("items", lambda x: x.startswith("#")).alias("c"), "freq")
     split = split.where((F.size("c") <= 1) & F.size("w").between(1, 3)).select(F.array_sort("w").alias("w"), F.element_at(F.concat("c", F.array(F.lit(""))), 1).alias("c"), "freq")
     support: dict[tuple, dict[str, int]] = defaultdict(dict)
-    for r in split.orderBy(F.desc("freq"), "w", "c").limit(MOST_RULES * 12).collect():
+    for r in split.collect():
         support[tuple(r.w)][r.c] = r.freq
     rules: dict[tuple, tuple[int, float, float]] = {}
     # what a class can reach: its labels miss some documents, so even its own words stay under 1
@@ -136,14 +136,15 @@ def mine_rules(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         if any(s in rules and rules[s][0] == c and rules[s][1] >= conf - 0.05 for s in subsets):
             continue
         rules[words] = (c, conf, math.log(conf / (1 - min(conf, 0.995))) - math.log(base[c] / (1 - min(base[c], 0.995))))
-    kept = sorted(rules.items(), key=lambda kv: (-kv[1][2], kv[0]))[:MOST_RULES]
+    kept = sorted(rules.items(), key=lambda kv: (-kv[1][2], kv[0]))
     return [(words, c, evidence) for words, (c, _, evidence) in kept]
 
 
 class Scorer:
-    """Matches rules against sentences. Sentences with the same rule words get the same answer, so answers are kept."""
+    """Matches rules against sentences. Sentences with the same rule words get the same answer, so answers are kept; those
+    kept longest make room, which changes no answer."""
 
-    def __init__(self, rules: list[tuple[tuple[str, ...], int, float]], margin: float = 0.5):
+    def __init__(self, rules: list[tuple[tuple[str, ...], int, float]], margin: float = 0.0):
         self.margin = margin
         self.single: dict[str, tuple[int, float]] = {}
         self.several: dict[str, list] = defaultdict(list)
@@ -153,18 +154,18 @@ class Scorer:
             else:
                 self.several[words[0]].append((frozenset(words), c, e))
         self.words = {w for words, _, _ in rules for w in words}
-        self.memo: dict[frozenset, int | None] = {}
+        self.memo: dict[frozenset, tuple[int | None, float]] = {}
 
-    def sentence(self, words: list[str]) -> int | None:
-        """The class with the most evidence, None if there is none or the second is too near."""
+    def best(self, words: list[str]) -> tuple[int | None, float]:
+        """The class with the most evidence, and how much more it has than the second or, with no second, than none."""
         key = self.words.intersection(words)
         if not key:
-            return None
+            return None, 0.0
         key = frozenset(key)
         if key in self.memo:
             return self.memo[key]
         score: Counter = Counter()
-        for w in key:
+        for w in sorted(key):
             if w in self.single:
                 c, e = self.single[w]
                 score[c] += e
@@ -172,11 +173,17 @@ class Scorer:
                 if need <= key:
                     score[c] += e
         top = sorted(score.items(), key=lambda kv: (-kv[1], kv[0]))
-        out = top[0][0] if top and top[0][1] > self.margin and (len(top) == 1 or top[0][1] - top[1][1] > self.margin) else None
-        if len(self.memo) < 200_000:
-            self.memo[key] = out
+        out = (top[0][0], top[0][1] - max(0.0, top[1][1] if len(top) > 1 else 0.0)) if top and top[0][1] > 0 else (None, 0.0)
+        if len(self.memo) >= 200_000:
+            self.memo.clear()
+        self.memo[key] = out
         return out
 
+    def sentence(self, words: list[str]) -> int | None:
+        """The class of the sentence, None if there is none or the evidence is not enough."""
+        c, more = self.best(words)
+        return c if more > self.margin else None
+
     def shares(self, text: str | None) -> tuple[int, dict[int, float]]:
         """Number of body words, and of each class the share of them in its sentences."""
         if not text or not text.strip():
@@ -191,17 +198,59 @@ class Scorer:
         return total, {c: k / total for c, k in by.items()}
 
 
+def calibrate(held_out: DataFrame, rules: list[tuple[tuple[str, ...], int, float]]) -> tuple[float, float]:
+    """``(slope, offset)`` of the chance that the best class of a sentence is one its document is labelled with, as the
+    logistic function of how much more evidence it has than the second: measured on the held-out documents, so evidence
+    is worth what it proves to be. ``(1, 0)`` if there is nothing to measure."""
+    shared = held_out.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            rows = []
+            for classes, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c, more = scorer.best(words)
+                if c is not None:
+                    rows.append((round(more, 1), c in classes))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.bool_())], names=["more", "right"])
+
+    seen = held_out.select("classes", "words").mapInArrow(run, "more double, right boolean").groupBy("more").agg(F.count("*").alias("n"), F.count_if("right").alias("k"))
+    bins = sorted((r.more, r.n, r.k) for r in seen.collect())  # tenths of evidence, whatever the number of sentences
+    if not bins:
+        return 1.0, 0.0
+    x, n, k = (np.array(c, float) for c in zip(*bins))
+    w = np.array([1.0, 0.0])
+    design = np.stack([x, np.ones_like(x)], 1)
+    for _ in range(50):  # Newton steps with a weak pull to (1, 0)
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        grad = design.T @ (k - n * p) - (w - [1.0, 0.0])
+        step = np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]) + np.eye(2), grad)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def trained(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list, float]:
+    """The rules, and the margin of evidence from which on the best class of a sentence is more likely right than not."""
+    rows = materialize(_training(documents, labels, id_col, text_col, label_col), "sentences")
+    rules = mine_rules(rows.where(~F.col("held_out")))
+    slope, offset = calibrate(rows.where("held_out"), rules)
+    return rules, max(0.0, -offset / slope) if slope > 0 else 0.0
+
+
 def subject_shares(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject_id") -> DataFrame:
     """``(id_col, label_col, share, body_words)``: of each document, the share of its body's words in sentences of each
-    area. Titles and headings are left aside; sentences that no rule decides count for no area but as words. Null,
-    blank and heading-only texts give no rows; with no labels there are no rules and no rows. Repeated rows give
-    repeated rows. Documents are read in one pass without a shuffle; the rules are bounded by ``MOST_RULES``."""
-    rules = mine_rules(documents, labels, id_col, text_col, label_col)
+    area. Titles and headings are left aside; sentences that no rule decides, or whose evidence held-out documents show to
+    be more often wrong than right, count for no area but as words. Null, blank and heading-only texts give no rows; with
+    no labels there are no rules and no rows. Repeated rows give repeated rows. Documents are read in one pass without a
+    shuffle; the rules are bounded by the bounded sample of labelled documents they are mined from."""
+    rules, margin = trained(documents, labels, id_col, text_col, label_col)
     kind = documents.schema[id_col].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(rules)
+    shared = documents.sparkSession.sparkContext.broadcast((rules, margin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(*shared.value)
         for b in batches:
             out = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -213,6 +262,17 @@ def subject_shares(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{label_col}` bigint, share double, body_words int")
 
 
+def held_out_quality(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "subject_id") -> dict[str, float]:
+    """How the areas found agree with the labels of the documents that no rule was mined from: share of the labelled areas
+    that are found, and of the found areas that are labelled."""
+    per_doc = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.collect_set(F.col(label_col).cast("long")).alias("classes"))
+    kept = bounded_sample(per_doc, "doc", TRAINING_DOCS).where(F.pmod(F.xxhash64("doc", F.lit("held out")), F.lit(HELD_OUT)) == 0)
+    given = kept.select("doc", F.explode("classes").alias("c"))
+    found = subject_areas(subject_shares(documents, labels, id_col, text_col, label_col)).select(F.col(id_col).alias("doc"), F.col(label_col).alias("c")).distinct().join(kept.select("doc"), "doc", "left_semi")
+    both = given.join(found, ["doc", "c"]).count()
+    return {"documents": kept.count(), "found_of_labelled": both / max(1, given.count()), "labelled_of_found": both / max(1, found.count())}
+
+
 def subject_areas(shares: DataFrame, least_share: float = LEAST_SHARE, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``subject_shares`` whose area takes up at least ``least_share`` of a body of ``least_words``."""
     return shares.where((F.col("share") >= least_share) & (F.col("body_words") >= least_words))

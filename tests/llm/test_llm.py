@@ -155,6 +155,41 @@ def test_leaks_against_brute_force(spark):
     assert leak.leaked_passages(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_near_passages_are_found():
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(13, 60)))) for i in range(150)]
+    index = leak.ItemIndex(items)
+    near = hit = 0
+    for i, t in items:
+        whole, part = t.split(), t.split()[:13]
+        for ws in (whole, part):
+            for at in (0, -1, rng.randrange(len(ws))):
+                v = list(ws)
+                v[at] = "altul"
+                if index.similarity(np.array(index.code(" ".join(ws))), np.array(index.code(" ".join(v)))) >= leak.SIMILARITY:
+                    near += 1
+                    text = " ".join([*rng.choices(vocab, k=30), "x", *v, "y", *rng.choices(vocab, k=30)])
+                    hit += i in {r[1] for r in leak.passages(index, [None, text])}
+    assert near > 300 and hit >= 0.97 * near
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Unu doi"), (2, "trei"), (3, "unu doi trei patru cinci"), (4, "a b c d e f g h i j"), (5, "!?"), (6, None)]
+    docs = [(1, "zero unu, DOI; trei"), (2, "doi unu"), (3, "unu doi trei patru cinci"), (4, "x a b c d e f g h i j y"), (5, "a b c d e f g h i x"), (6, None), (7, "")]
+    got = leak.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 1), (1, 2), (3, 1), (3, 2), (3, 3), (4, 4), (5, 4)}
+
+
+def test_long_texts_are_matched_in_parts(monkeypatch):
+    index = leak.ItemIndex([(1, " ".join(f"a{k}" for k in range(30)))])
+    text = "x " * 95 + " ".join(f"a{k}" for k in range(30)) + " y" * 300
+    want = leak.passages(index, [text, text])
+    for n in (40, 50, 97):
+        monkeypatch.setattr(leak, "CHUNK_WORDS", n)
+        assert [r[:3] for r in leak.passages(index, [text, text])] == [r[:3] for r in want] == [(0, 1, 1.0), (1, 1, 1.0)]
+
+
 def test_leak_blocks_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(9)]
     docs = spark.createDataFrame([(i, "început " + t + " sfârșit") for i, t in items], "doc_id long, text string")
@@ -410,6 +445,35 @@ def test_alignment(spark):
     assert align.align_sentences(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared", [300_000, -1])
+def test_merges_of_any_number_and_joined_tables(spark, monkeypatch, shared):
+    monkeypatch.setattr(align, "MOST_SHARED", shared)
+    rng = random.Random(3)
+    ro, en = [f"cuvant{k}ro" for k in range(60)], [f"word{k}en" for k in range(60)]
+    rows, want = [], set()
+    for d in range(60):
+        picks = [rng.sample(range(60), 5) for _ in range(6)]
+        a = [" ".join(ro[x] for x in p) + "." for p in picks]
+        merged = " ".join(" ".join(en[x] for x in p) for p in picks[1:4]) + "."
+        b = [" ".join(en[x] for x in picks[0]) + ".", merged, *(" ".join(en[x] for x in p) + "." for p in picks[4:])]
+        rows += [(2 * d, "ro", f"ro/f{d}.md", " ".join(a), 1), (2 * d + 1, "en", f"en/f{d}.md", " ".join(b), 1)]
+        want |= {(2 * d, i + 1, 2 * d + 1, n) for i, n in enumerate([1, 2, 2, 2, 3, 4])}
+    df = spark.createDataFrame(rows, "chunk_id long, language string, source_relative_path string, text string, line_start int")
+    got = {(r.chunk_id_a, r.sentence_a, r.chunk_id_b, r.sentence_b) for r in align.align_sentences(df).collect()}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_places_are_numbered_across_partitions(spark):
+    rows = [(d, s, k * 7 % 50, 1, [f"w{d}", f"x{k}"]) for d in range(3) for s in (0, 1) for k in range(50)] + [(1, 0, 99, 1, ["w1", "x3"]), (0, 1, 99, 2, [])]
+    df = spark.createDataFrame(rows, "doc long, side int, id long, number long, words array<string>").withColumn("line", F.lit(None).cast("long"))
+    got = align.placed_sentences(df.repartition(5)).collect()
+    for d in range(3):
+        for s in (0, 1):
+            mine = sorted((r.place, r.words[1]) for r in got if (r.doc, r.side) == (d, s))
+            assert [p for p, _ in mine] == list(range(50)) and all(r.total == 50 for r in got)
+            assert [w for _, w in mine] == [f"x{k}" for k in sorted(range(50), key=lambda k: k * 7 % 50)]
+
+
 def test_sentences_are_counted_as_stated():
     assert align.split_sentences("Unu. Doi!  Trei?\n3.5 g. fără") == [(1, "Unu."), (2, "Doi!"), (3, "Trei?"), (4, "3.5 g."), (5, "fără")] and align.split_sentences("") == [] and align.split_sentences(" ") == []
 
@@ -431,6 +495,8 @@ def test_subjects(spark):
         got.setdefault(r.doc_id, set()).add(r.subject_id)
     assert sum(got.get(d) == {1 + d % 2} for d in range(80)) >= 78
     assert got[203] == {1, 2} and got[205] == {1} and not {200, 201, 202, 204} & set(got)
+    quality = subjects.held_out_quality(df, spark.createDataFrame(labels, "doc_id long, subject_id long, annotator string"))
+    assert quality["documents"] > 3 and quality["found_of_labelled"] >= 0.8
     none = spark.createDataFrame([], "doc_id long, subject_id long, annotator string")
     assert subjects.subject_shares(df, none).count() == 0 and subjects.subject_shares(df.limit(0), none).count() == 0
 
