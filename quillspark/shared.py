@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share. ``spark.checkpoint.dir`` names it; only where that is unset (as in local
-    tests) a temporary folder of this machine is made and kept in the session's settings."""
+    """The folder all executors share. ``spark.checkpoint.dir`` names it; only where that is unset and all tasks run in
+    this process (as in local tests) a temporary folder of this machine is made, kept in the session's settings and
+    removed at exit. On a cluster such a folder would be another one on each machine: an error."""
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{key} must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(key, found)
     return found.rstrip("/")
 

@@ -17,7 +17,7 @@ def at(h):
 
 def pending(spark, docs, chunks, log):
     d = spark.createDataFrame(docs, DOCS)
-    return {(r.doc_id, r.reason) for r in sync.pending_documents(d, spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(log, LOG)).collect()}
+    return {(r.doc_id, r.reason) for r in sync.pending_reasons(d, spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(log, LOG)).collect()}
 
 
 def test_reasons(spark):
@@ -54,5 +54,58 @@ def test_incremental_run_survives_failures(spark, tmp_path):
     assert (again["taken"], again["removed"]) == (2, 2)
     rows = sorted((r.k, r.v, r.body) for r in target.current(spark.createDataFrame([], schema).schema).collect())
     assert rows == [("a", "2", "qq"), ("b", "1", "yy"), ("d", "1", "ww")]
+    assert target.publish(two, again["version"]) == again["version"] + 1
     with pytest.raises(RuntimeError):
-        target.publish(two, first["version"])
+        target.publish(two, again["version"])
+
+
+def test_runs_write_what_changed_and_can_be_compacted(spark, tmp_path):
+    schema = "k string, v string, body string"
+    keep = lambda df: df
+    target = sync.VersionedTarget(spark, f"file://{tmp_path}/t")
+    rows = lambda t: sorted((r.k, r.v, r.body) for r in t.collect())
+    make = lambda *x: spark.createDataFrame(list(x), schema)
+    assert sync.incremental_run(make(), target, keep, "k", "v") == {"taken": 0, "removed": 0, "version": 1}
+    sync.incremental_run(make(("a", "1", "x"), ("b", "1", "y"), ("c", None, "n")), target, keep, "k", "v")
+    two = make(("a", "2", "q"), ("b", "1", "y"), ("b", "1", "z"), ("d", "1", "w"))
+    done = sync.incremental_run(two, target, keep, "k", "v")
+    assert done == {"taken": 2, "removed": 2, "version": 3}
+    assert rows(target.current(only=3)) == [("a", "2", "q"), ("d", "1", "w")] and rows(target.current()) == [("a", "2", "q"), ("b", "1", "y"), ("d", "1", "w")]
+    assert rows(target.current(version=2)) == [("a", "1", "x"), ("b", "1", "y"), ("c", None, "n")]
+    # back to an earlier version of a row, then one of two versions of a key
+    assert sync.incremental_run(make(("a", "1", "x"), ("d", "1", "w"), ("d", "2", "v")), target, keep, "k", "v")["taken"] == 2
+    sync.incremental_run(make(("a", "1", "x"), ("d", "1", "w")), target, keep, "k", "v")
+    assert rows(target.current()) == [("a", "1", "x"), ("d", "1", "w")]
+    before = rows(target.current())
+    target.compact()
+    assert rows(target.current()) == before and len(target.manifest()["segments"]) == 1
+    assert target.vacuum(keep=1, older_than_s=-10) > 3 and rows(target.current()) == before
+    assert sync.incremental_run(make(("a", "1", "x"), ("d", "1", "w")), target, keep, "k", "v")["taken"] == 0
+
+
+def test_of_two_runs_from_one_version_one_publishes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    target = sync.VersionedTarget(spark, f"file://{tmp_path}/t")
+    df = spark.createDataFrame([("a", "1")], "k string, v string")
+    target.publish(df, None)
+
+    def one(_):
+        try:
+            return target.publish(df, 1)
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(one, range(4)), key=str) == [2, None, None, None]
+    assert target.version() == 2 and len(target.manifest()["segments"]) == 2
+
+
+def test_a_local_folder_is_refused_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillspark import shared
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://x:7077", getConf=lambda: {}))
+    with pytest.raises(ValueError):
+        shared.scratch_dir(fake)
