@@ -76,30 +76,35 @@ class Formula:
 
         return self._fold(self.root, lambda v: f"CAST({v!r} AS DOUBLE)", lambda n: f"CAST({given[n]} AS DOUBLE)", binary, lambda minus, a: f"(-{a})" if minus else a)
 
-    def check(self, grid: Mapping[str, Sequence[float]], lowest: float | None = None, highest: Mapping[str, float] | None = None) -> Formula:
+    def check(self, grid: Mapping[str, Sequence[float]], lowest: float = -math.inf, highest: Mapping[str, float] | None = None) -> Formula:
         """Evaluate at all points of ``grid``: every value must be finite, not under ``lowest`` and not over the value at
         the point ``highest``, which must be positive."""
+        points = [dict(zip(grid, p)) for p in itertools.product(*grid.values())]
         try:
-            top = self.value(**highest) if highest else math.inf
-            if highest and not (math.isfinite(top) and top > 0):
-                raise FormulaError("the best value must be positive")
-            for point in itertools.product(*grid.values()):
-                v = self.value(**dict(zip(grid, point)))
-                if not math.isfinite(v) or (lowest is not None and v < lowest) or v > top + 1e-9:
-                    raise FormulaError("the formula leaves its range")
+            values = [self.value(**p) for p in ([highest] if highest else []) + points]
         except (ZeroDivisionError, OverflowError):
             raise FormulaError("the formula is not defined everywhere") from None
+        if not all(map(math.isfinite, values)):
+            raise FormulaError("the formula is not finite everywhere")
+        if highest and (values[0] <= 0 or max(values) > values[0] + SLACK):
+            raise FormulaError("the best value must be positive and the highest")
+        if min(values) < lowest:
+            raise FormulaError("the formula leaves its range")
         return self
 
 
+# Points at which formulas are checked (ranks with none at all, shares of a flag, counts), and the rounding
+# allowed in a comparison.
+CHECKED_RANKS, CHECKED_FLAGS, CHECKED_COUNTS, SLACK = (1, 2, 10, 1000, math.inf), (0, 0.5, 1), (0, 1, 2, 1000), 1e-9
+
+
 def search_formula(source: str = SEARCH_DEFAULT, k: float = 10) -> Formula:
     """A fragment score over P1, P2 in {0, 1} and the ranks L, V (infinite where there is none), between 0 and its value
     at P1 = P2 = L = V = 1."""
-    ranks, flags = (1, 2, 10, 1000, math.inf), (0, 0.5, 1)
-    return Formula(source, ("P1", "P2", "L", "V", "K")).check({"P1": flags, "P2": flags, "L": ranks, "V": ranks, "K": (k,)}, 0, {"P1": 1, "P2": 1, "L": 1, "V": 1, "K": k})
+    points = {"P1": CHECKED_FLAGS, "P2": CHECKED_FLAGS, "L": CHECKED_RANKS, "V": CHECKED_RANKS, "K": (k,)}
+    return Formula(source, tuple(points)).check(points, 0, {"P1": 1, "P2": 1, "L": 1, "V": 1, "K": k})
 
 
 def product_formula(source: str = PRODUCT_DEFAULT) -> Formula:
     """A product score over the counts L1, L2, L3, finite for every count."""
-    counts = (0, 1, 2, 1000)
-    return Formula(source, ("L1", "L2", "L3")).check({"L1": counts, "L2": counts, "L3": counts})
+    return Formula(source, ("L1", "L2", "L3")).check(dict.fromkeys(("L1", "L2", "L3"), CHECKED_COUNTS))

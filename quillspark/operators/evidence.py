@@ -83,19 +83,16 @@ def top_of_topic(scores: DataFrame, topic: str, entity: str, n: int, formula: st
 def phrase_mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_id: str = "name_id", name_col: str = "name") -> DataFrame:
     """``(id, name_id, position)``: where names stand as whole words in texts, without case and accents.
 
-    Word n-grams up to the longest name are joined to the names by equality: no automaton to ship, and neither side is
-    held by one process. Only n-gram lengths that a name has are generated."""
-    keyed = names.select(F.col(name_id), T.words(name_col).alias("w")).where(F.size("w") > 0).select(name_id, F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).distinct()
-    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())  # a handful of numbers
-    words = texts.select(F.col(id_col).alias("id"), T.words(text_col).alias("w"))
-    grams = None
-    for n in lengths:
-        gram = lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")  # noqa: B023, E731
-        part = words.where(F.size("w") >= n).select("id", F.lit(n).alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), gram)).alias("position", "gram"))
-        grams = part if grams is None else grams.unionByName(part)
-    if grams is None:
-        return words.select("id", F.lit(None).cast(names.schema[name_id].dataType).alias(name_id), F.lit(0).alias("position")).limit(0)
-    return grams.join(keyed, ["n", "gram"]).select("id", name_id, "position")
+    Names are met by their first words: one pass over the texts, and only places where a name may begin are compared with
+    the words that follow. No automaton to ship, and neither side is held by one process."""
+    keyed = names.select(F.col(name_id), T.words(name_col).alias("w")).where(F.size("w") > 0).distinct()
+    keyed = keyed.select(name_id, F.element_at("w", 1).alias("first"), F.slice("w", 2, F.size("w")).alias("rest"))
+    longest = keyed.agg(F.max(F.size("rest"))).first()[0] or 0
+    words = texts.select(F.col(id_col).alias("id"), T.words(text_col).alias("w")).where(F.size("w") > 0)
+    follow = F.transform("w", lambda word, i: F.struct(word.alias("first"), F.slice("w", i + 2, F.lit(longest)).alias("next"))) if longest else F.transform("w", lambda word: F.struct(word.alias("first"), F.array().cast("array<string>").alias("next")))
+    places = words.select("id", F.posexplode(follow).alias("position", "x")).select("id", "position", "x.first", "x.next")
+    met = places.join(keyed, "first").where((F.size("next") >= F.size("rest")) & (F.slice("next", 1, F.greatest(F.size("rest"), F.lit(1))) == F.col("rest")) | (F.size("rest") == 0))
+    return met.select("id", name_id, "position")
 
 
 def cooccurrence(mentions: DataFrame, topics: DataFrame, id_col: str = "id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.shared import materialize
 
 #: Up to so many rows a plain global window (one task) is the faster way.
-ONE_TASK_ROWS = 2_000_000
+ONE_TASK_ROWS = 200_000
 
 
 def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:

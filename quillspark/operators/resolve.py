@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,6 +25,50 @@ class Resolved:
     rest: str
 
 
+#: Names that go to every task at most.
+MOST_NAMES = 200_000
+
+
+class CloseNames:
+    """Names similar to a text by ratio of matching blocks. Letters that two strings share, however placed, and their lengths
+    bound the ratio; only names that these admit are compared."""
+
+    def __init__(self, names: Sequence[str]):
+        self.names = sorted(set(names))
+        self.letters = {c: k for k, c in enumerate(sorted({c for x in self.names for c in x}))}
+        self.counts = np.zeros((len(self.names), len(self.letters) + 1), np.int16)
+        for k, x in enumerate(self.names):
+            self.counts[k] = self._count(x)
+        self.sizes = np.array([len(x) for x in self.names])
+
+    def _count(self, text: str) -> np.ndarray:
+        out = np.zeros(len(self.letters) + 1, np.int16)
+        for c, n in Counter(text).items():
+            if c in self.letters:
+                out[self.letters[c]] = n
+        return out
+
+    def close(self, text: str, n: int, ratio: float) -> list[tuple[str, float]]:
+        """Up to ``n`` names with their ratios, the most similar first, of equal ones the later in the alphabet."""
+        if not self.names or not text:
+            return []
+        common = np.minimum(self.counts, self._count(text)).sum(1)
+        near = np.flatnonzero(2 * common >= (ratio - 1e-9) * (self.sizes + len(text)))
+        match = difflib.SequenceMatcher(None, "", text)  # keeps what it knows of the second
+        found = []
+        for k in near.tolist():
+            match.set_seq1(self.names[k])
+            if (r := match.ratio()) >= ratio:
+                found.append((r, self.names[k]))
+        return [(x, r) for r, x in sorted(found, reverse=True)[:n]]
+
+
+def bounded_names(names: Sequence) -> list:
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"{len(names)} names are too many to be sent to every task")
+    return list(names)
+
+
 class Resolver:
     """Resolves the expressions of a question: the whole is a name, or nearly one; names stand in it, the longest
     first; or it is close to a name."""
@@ -32,9 +78,10 @@ class Resolver:
         self.names: dict[str, list[str]] = {}
         for key, names in self.plain.names.items():
             self.names.setdefault(" ".join(key), list(names))
+        self.near = CloseNames(list(self.names))
 
     def close(self, key: str, ratio: float, n: int = 1) -> list[str]:
-        return difflib.get_close_matches(key, list(self.names), n, ratio)
+        return [x for x, _ in self.near.close(key, n, ratio)]
 
     def expression(self, text: str) -> Resolved:
         words = self.plain.words(text)
@@ -71,7 +118,7 @@ class Resolver:
 def resolve_questions(df: DataFrame, terms: Sequence[tuple[str, str]], id_col: str, text_col: str) -> DataFrame:
     """``(id, expression, conditions, whole, rest)`` of each expression of each question. Null questions give none."""
     kind = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(list(terms))
+    shared = df.sparkSession.sparkContext.broadcast(bounded_names(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resolver = Resolver(shared.value)
@@ -95,10 +142,11 @@ def resolve_questions(df: DataFrame, terms: Sequence[tuple[str, str]], id_col: s
 def close_names(df: DataFrame, names: Sequence[str], id_col: str, text_col: str, n: int = 3, ratio: float = CLOSE) -> DataFrame:
     """``(id, position, name, ratio)``: the ``n`` most similar of a bounded list of names, by matching blocks."""
     kind = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast([str(x) for x in names])
+    shared = df.sparkSession.sparkContext.broadcast(bounded_names([str(x) for x in names]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {x.casefold(): x for x in shared.value}
+        index = CloseNames(list(own))
         memo: dict[str, list] = {}
         for b in batches:
             rows = []
@@ -107,8 +155,9 @@ def close_names(df: DataFrame, names: Sequence[str], id_col: str, text_col: str,
                     continue
                 key = t.casefold().strip()
                 if key not in memo:
-                    found = difflib.get_close_matches(key, list(own), n, ratio)
-                    memo[key] = [(p, own[f], difflib.SequenceMatcher(None, f, key).ratio()) for p, f in enumerate(found, 1)]
+                    if len(memo) > 50_000:
+                        memo.clear()
+                    memo[key] = [(p, own[f], r) for p, (f, r) in enumerate(index.close(key, n, ratio), 1)]
                 rows += [(i, *m) for m in memo[key]]
             cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.string(), pa.float64()))], names=["id", "position", "name", "ratio"])

@@ -66,10 +66,13 @@ def evidence_size(language: str) -> Column:
 def cosine_ranks(pool: DataFrame, rows: int | None = None) -> DataFrame:
     """``(chunk_id, cosine, semantic)``: the rank of each cosine within the pool, and no rank (infinity) at or below the
     pool's median. Ties share a rank; unusable vectors have no cosine and no rank."""
-    # the rank and the median read the cosines: computed once, kept as a narrow table
+    # the rank reads the cosines, the median the ranks: each computed once, kept as a narrow table
     own = materialize(pool.where(F.col("cosine").isNotNull()).select("chunk_id", "cosine"), "cosines")
-    ranked = ranking.global_rank(own, [F.desc("cosine")], "_rank", rows)
-    median = own.agg(F.percentile("cosine", 0.5).alias("_median"))
+    ranked = materialize(ranking.global_rank(own, [F.desc("cosine")], "_rank", rows), "cosine-ranks")
+    n = ranked.count()
+    # the value at a place is the least of those that rank so high: no task holds the values to find the middle
+    at = lambda place: F.min(F.when(F.col("_rank") <= place, F.col("cosine")))
+    median = ranked.agg(((at((n + 1) // 2) + at(n // 2 + 1)) / 2).alias("_median"))
     gated = F.when(F.col("cosine") > F.col("_median"), F.col("_rank").cast("double")).otherwise(F.lit(NO_RANK))
     return ranked.join(F.broadcast(median)).select("chunk_id", "cosine", gated.alias("semantic"))  # one row
 
@@ -123,11 +126,10 @@ def minimum_relevance(hits: DataFrame, least: float) -> DataFrame:
 
 def priority_violations(hits: DataFrame) -> DataFrame:
     """``(chunk_id, position)`` of the hits that name a primary condition but stand after one that does not."""
-    from pyspark.sql import Window as W
-
-    order = W.orderBy(F.desc("score"), "chunk_id")
-    seen = F.max((F.col("p1") == 0).cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return hits.withColumn("position", F.row_number().over(order)).withColumn("_seen", seen).where((F.col("p1") == 1) & (F.col("_seen") == 1)).select("chunk_id", "position")
+    placed = ranking.global_rank(hits, [F.desc("score"), F.asc("chunk_id")], "position", ties=False)
+    first = hits.where("p1 = 0").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))).alias("_first"))
+    own = F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))
+    return placed.where("p1 = 1").join(F.broadcast(first), F.col("_first") < own).select("chunk_id", F.col("position").cast("int").alias("position"))  # one row
 
 
 def embedding_windows(df: DataFrame, id_col: str, text_col: str, width: int = 1400, overlap: int = 240) -> DataFrame:

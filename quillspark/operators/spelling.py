@@ -17,6 +17,9 @@ from quillspark.shared import materialize
 # Gates of the repairs.
 TYPO_LENGTH, TYPO_OWN, TYPO_FREQUENCY, TYPO_TIMES = 5, 2, 100, 30
 SPLIT_LENGTH, PIECE_LENGTH, PIECE_FREQUENCY = 8, 5, 100
+# Letters at the end that an edit leaves, length from which any edit is a typo, frequency from which the
+# first letter may change, and how many times as frequent as the second best a fix is.
+ENDING, SAFE_LENGTH, FIRST_LETTER_FREQUENCY, SECOND_BEST = 2, 7, 300, 5
 MOST_PASSES = 16
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,9 +43,9 @@ def one_edit(word: str, fix: str) -> bool:
 def acceptable(word: str, fix: str, frequency: int) -> bool:
     """Whether an edit is a typo rather than an inflection: the last two letters stay, short words only by a swap, and
     the first letter changes only towards a very frequent word."""
-    if word[-2:] != fix[-2:] or (word[0] != fix[0] and frequency < 300):
+    if word[-ENDING:] != fix[-ENDING:] or (word[0] != fix[0] and frequency < FIRST_LETTER_FREQUENCY):
         return False
-    return len(word) >= 7 or (len(word) == len(fix) and sorted(word) == sorted(fix))
+    return len(word) >= SAFE_LENGTH or (len(word) == len(fix) and sorted(word) == sorted(fix))
 
 
 def typo_fixes(counts: DataFrame, dictionary: DataFrame, frequency: int = TYPO_FREQUENCY) -> DataFrame:
@@ -67,7 +70,7 @@ def typo_fixes(counts: DataFrame, dictionary: DataFrame, frequency: int = TYPO_F
 
     good = met.select("word", "fix", "known").mapInArrow(judge, "word string, fix string, known bigint")
     w = W.partitionBy("word").orderBy(F.desc("known"), "fix")
-    return good.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("known").over(w)).where("_r = 1 AND (_next IS NULL OR known >= 5 * _next)").select("word", "fix")
+    return good.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("known").over(w)).where("_r = 1 AND (_next IS NULL OR " f"known >= {SECOND_BEST} * _next)").select("word", "fix")
 
 
 def split_fixes(counts: DataFrame, dictionary: DataFrame, function_words: list[str], frequency: int = PIECE_FREQUENCY) -> DataFrame:

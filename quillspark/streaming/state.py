@@ -86,3 +86,33 @@ def event_windows(events: DataFrame, time: str, kind: str, width: str = "1 hour"
     """Counts per tumbling window and kind; works on a stream (with a watermark) and on a batch."""
     e = events.withWatermark(time, late) if events.isStreaming else events
     return e.groupBy(F.window(time, width), kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("started"), kind, "n")
+
+
+def limited_sessions(events: DataFrame, key: str, time: str, order: str, idle: int = IDLE_SECONDS, age: int = AGE_SECONDS) -> DataFrame:
+    """``(key, session, started, ended, events)``: a session ends when the next event comes ``idle`` seconds or more after
+    the last, or ``age`` seconds or more after its first; that event begins the next session. Ties in time by ``order``.
+    Each key streams through one task with three numbers as state."""
+    own = events.where(F.col(time).isNotNull()).select(key, order, time, micros(time).alias("_t"))
+
+    def step(state: list, row: dict) -> int:
+        t = row["_t"]
+        if not state:
+            state[:] = [1, t, t]
+        elif t - state[2] >= idle * 1_000_000 or t - state[1] >= age * 1_000_000:
+            state[:] = [state[0] + 1, t, t]
+        state[2] = t
+        return state[0]
+
+    placed = sequential(own, [key], ["_t", order], list, step, "session", "int")
+    return placed.groupBy(key, "session").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("events"))
+
+
+def joined_events(left: DataFrame, right: DataFrame, key: str, time: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """Each event of ``left`` with those of ``right`` of the same key that came at most ``within`` before it; columns of
+    ``right`` get the prefix ``before_``. On streams both sides have a watermark, so that what is kept of either is
+    bounded by ``within``; on a batch it is a range join within the key."""
+    if left.isStreaming or right.isStreaming:
+        left, right = left.withWatermark(time, late), right.withWatermark(time, late)
+    b = right.select(*(F.col(c).alias(f"before_{c}") for c in right.columns))
+    on = (F.col(key) == F.col(f"before_{key}")) & (F.col(f"before_{time}") <= F.col(time)) & (F.col(f"before_{time}") >= F.col(time) - F.expr(f"INTERVAL {within}"))
+    return left.join(b, on)

@@ -22,7 +22,7 @@ def test_clean_text_keeps_lines_and_numbers(spark):
 def test_document_rules():
     meta = "---\nsource_path: x\n---\n\n# T\n"
     assert C.strip_metadata(meta) == "# T\n" and C.strip_metadata("---\na: b\n---\nx") == "---\na: b\n---\nx"
-    assert C.strip_page_markers("a\n\n### Pagina 3\n\nb\n<!-- Pagina PDF 8 -->\nc") == "a\n\nb\nc"
+    assert C.strip_page_markers("a\n\n### Pagina 3\n\nb\n<!-- Pagina PDF 8 -->\nc")[0] == "a\n\nb\nc"
     toc = "# Cuprins\n" + "\n".join(f"Capitolul {i} ..... {i}" for i in range(20))
     assert C.strip_furniture(toc + "\n# Text\nx")[0] == "# Text\nx"
     assert C.strip_furniture(toc.replace("..... 3", "500 mg") + "\n# Text\nx")[1] == []
