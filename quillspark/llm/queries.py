@@ -128,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_unusable": """
 WITH w AS (SELECT len(embedding) AS width FROM chunks WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
 SELECT * FROM (SELECT chunk_id, CASE WHEN embedding IS NULL THEN 'null' WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) != (SELECT width FROM w) THEN 'length'
-  WHEN len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'value' WHEN len(list_filter(embedding, x -> x != 0)) = 0 THEN 'zero' END AS reason FROM chunks)
+  WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'value' WHEN len(list_filter(embedding, lambda x: x != 0)) = 0 THEN 'zero' END AS reason FROM chunks)
 WHERE reason IS NOT NULL""",
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks WHERE length(text) > 2000",
         "p8_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
