@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import catalogue as K
 from quillspark.operators import clean as C
+from quillspark.operators import fragment, rules, units
 from quillspark.operators import publication as P
 from quillspark.operators import search as S
+from quillspark.plans import documents
 from quillspark.shared import table
 from quillspark.streaming import state
 
@@ -114,13 +116,59 @@ def authored_removals(spark, d):
     return cleaned.select("id", F.explode("removed").alias("r")).groupBy("id", "r.rule").agg(F.count("*").alias("removals"))
 
 
+# Authored units: text, product, condition, label and code that must come out (null where no rule answers).
+POLARITY = [
+    ("Mușețelul ajută în tuse.", "Mușețelul", "tuse", "positive", "adjacent_cue"),
+    ("Evitați mușețelul în tuse.", "mușețelul", "tuse", "caution", "explicit_prohibition"),
+    ("Mușețelul nu se administrează în tuse.", "Mușețelul", "tuse", "caution", "explicit_prohibition"),
+    ("Mușețelul crește în pajiști, unde tuse nu este.", "Mușețelul", "tuse", "unclear", "description"),
+    ("## Contraindicații\n\nMușețelul și tuse.", "Mușețelul", "tuse", "caution", "warning_section"),
+    ("Ajută în tuse:\n\n- Mușețelul, tuse", "Mușețelul", "tuse", "positive", "list_scope"),
+    ("Evitați în tuse:\n\n- Mușețelul, tuse", "Mușețelul", "tuse", "caution", "avoidance_list"),
+    ("| Plantă | Indicații | Contraindicații |\n|---|---|---|\n| Mușețel | tuse | febră |", "Mușețel", "tuse", "positive", "table_column"),
+    ("| Plantă | Indicații | Contraindicații |\n|---|---|---|\n| Mușețel | tuse | febră |", "Mușețel", "febră", "caution", "table_column"),
+    ("| Recomandat | Doza |\n|---|---|\n| Mușețel în tuse | 5 g |", "Mușețel", "tuse", "positive", "recommended_dose"),
+    ("Se iau 2 capsule de mușețel pe zi pentru tuse.", "mușețel", "tuse", "positive", "administration"),
+    ("Nu se iau 2 capsule de mușețel pentru tuse.", "mușețel", "tuse", "caution", "administration"),
+    ("Consultați medicul înainte de mușețel în tuse.", "mușețel", "tuse", "caution", "consultation"),
+    ("Mușețelul și tuse, în bibliografie.", "Mușețelul", "tuse", "unclear", "source_reference"),
+    ("Mușețelul ajută în tuse, numai dacă este cald.", "Mușețelul", "tuse", None, None),
+    ("Despre mușețel. Despre tuse.", "mușețel", "tuse", None, None),
+]
+
+
+def authored_polarity(spark, d):
+    rows = [(k, t, [(t.index(p), t.index(p) + len(p), "plante")], [(t.rindex(c), t.rindex(c) + len(c))]) for k, (t, p, c, _, _) in enumerate(POLARITY, 1)]
+    df = spark.createDataFrame(rows, "identity long, text string, products array<struct<begin:int,finish:int,category:string>>, conditions array<struct<begin:int,finish:int>>")
+    return rules.classify_units(df).select("identity", F.coalesce("label", F.lit("none")).alias("label"), F.coalesce("code", F.lit("none")).alias("code"))
+
+
+def text_units(spark, d):
+    """Units of the documents by kind."""
+    return units.text_units(table(spark, d, "documents"), "doc_id", "text").groupBy("id", "kind").agg(F.count("*").alias("n"))
+
+
+def unit_polarity(spark, d):
+    """All pairs of a product and a condition named in one unit of a chunk, by the ordered rules."""
+    chunks = table(spark, d, "chunks").where("chunk_id IS NOT NULL")
+    found = fragment.condition_spans(chunks, documents._terms(spark, d), "chunk_id", "text").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("begin", "finish"))).alias("conditions"))
+    names = F.regexp_extract_all("text", F.lit(r"([\p{L}']+-[\p{L}]+)"), F.lit(1))
+    # places of the names: what stands before the k-th of them, split at the names
+    parts = F.split("text", r"[\p{L}']+-[\p{L}]+")
+    before = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_names"), F.lit(1))), lambda k: F.aggregate(F.slice("_parts", F.lit(1), k.cast("int")), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice("_names", F.lit(1), (k - 1).cast("int")), F.lit(0), lambda n, x: n + F.length(x)))
+    c = chunks.select(F.col("chunk_id").alias("identity"), "text", names.alias("_names"), parts.alias("_parts")).where(F.size("_names") > 0)
+    spans = F.zip_with("_names", before, lambda name, b: F.struct(b.alias("begin"), (b + F.length(name)).alias("finish"), F.lit("plante").alias("category")))
+    texts = c.join(found, F.col("identity") == F.col("id")).select("identity", "text", spans.alias("products"), "conditions")
+    return rules.classify_units(texts).groupBy("identity").agg(F.count("*").alias("pairs"), F.count("label").alias("decided"), F.count_if(F.col("label") == "positive").alias("positive"), F.count_if(F.col("label") == "caution").alias("caution"))
+
+
 def authored_violations(spark, d):
     hits = spark.createDataFrame([(1, 9.0, 1), (2, 8.0, 0), (3, 8.0, 1), (4, 7.0, 0), (5, 1.0, 1)], "chunk_id long, score double, p1 int")
     return S.priority_violations(hits)
 
 
 _NAMES = """catalogue_mentions mention_owners catalogue_lookup sibling_order name_order alias_maps cache_merge packed_requests packed_limits incomplete_decisions event_joins limited_sessions
-authored_credits authored_headers authored_removals authored_violations""".split()
+authored_credits authored_headers authored_removals authored_violations authored_polarity text_units unit_polarity""".split()
 
 
 def queries():
@@ -144,5 +192,6 @@ SELECT * FROM (SELECT chunk_id, condition, CASE WHEN n IS NULL THEN 'missing' WH
         "authored_credits": f"SELECT * FROM (VALUES {values([[(1, 'BIGINT'), (2, 'INTEGER')], [(1, 'BIGINT'), (3, 'INTEGER')]])}) AS t(id, n)",
         "authored_headers": f"SELECT * FROM (VALUES {values([[(1, 'BIGINT'), ('Ghid practic de plante 3', 'VARCHAR'), (4, 'BIGINT')]])}) AS t(id, line, removed)",
         "authored_removals": f"SELECT * FROM (VALUES {values([[(2, 'BIGINT'), ('phone', 'VARCHAR'), (1, 'BIGINT')], [(2, 'BIGINT'), ('label', 'VARCHAR'), (1, 'BIGINT')], [(3, 'BIGINT'), ('furniture:bibliography', 'VARCHAR'), (1, 'BIGINT')], [(5, 'BIGINT'), ('page_marker', 'VARCHAR'), (1, 'BIGINT')]])}) AS t(id, rule, removals)",
+        "authored_polarity": f"SELECT * FROM (VALUES {values([[(k, 'BIGINT'), (label or 'none', 'VARCHAR'), (code or 'none', 'VARCHAR')] for k, (_, _, _, label, code) in enumerate(POLARITY, 1)])}) AS t(identity, label, code)",
         "authored_violations": f"SELECT * FROM (VALUES {values([[*long(3), (3, 'INTEGER')], [*long(5), (5, 'INTEGER')]])}) AS t(chunk_id, position)",
     }
