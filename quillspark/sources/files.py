@@ -73,3 +73,69 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def write_bulk(df: DataFrame, path: str, rows_per_file: int = 5_000_000) -> None:
+    """A bulk write: each task streams its rows into files of at most ``rows_per_file`` rows; nothing is buffered beyond
+    the writer's row group."""
+    df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, parts: int, fetch: int = 2000, **options: str) -> DataFrame:
+    """A table of a database in ``parts`` ranges of ``column``, each read by one task through a cursor that holds ``fetch``
+    rows; rows outside ``lower`` and ``upper`` go with the first and last part."""
+    if parts < 1 or lower >= upper:
+        raise ValueError("a scan needs at least one part and a lower bound under the upper")
+    named = {"url": url, "dbtable": table, "partitionColumn": column, "lowerBound": lower, "upperBound": upper, "numPartitions": parts, "fetchsize": fetch, **options}
+    return spark.read.format("jdbc").options(**named).load()
+
+
+def encode(text: str | None, encoding: str | None) -> tuple[bytes | None, str | None]:
+    """The bytes of a text in the encoding it was read in, or in UTF-8 if that is unknown or lacks a character."""
+    if text is None:
+        return None, None
+    for name in (encoding, "utf-8"):
+        try:
+            if name:
+                return text.encode(name), name
+        except (UnicodeEncodeError, LookupError):
+            continue
+    raise AssertionError
+
+
+def encoded_documents(df: DataFrame) -> DataFrame:
+    """``(relative_path, encoding, content)`` of ``(relative_path, encoding, text)`` rows, as ``encode`` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [encode(t, e) for e, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[1] for d in done], pa.string()), pa.array([d[0] for d in done], pa.binary())], names=["relative_path", "encoding", "content"])
+
+    return df.select("relative_path", "encoding", "text").mapInArrow(run, "relative_path string, encoding string, content binary")
+
+
+def write_documents(encoded: DataFrame, root: str) -> int:
+    """Write the rows of ``encoded_documents`` as files under ``root``, a folder that all executors share, and give their
+    number. Never in place: ``root`` must not exist. Each file is written aside and renamed, so that a task that is run
+    again leaves no half file. Rows without content or with a path out of the folder are left out."""
+    import os
+
+    folder = root.removeprefix("file://")
+    os.makedirs(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = 0
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                target = os.path.normpath(os.path.join(folder, path or ""))
+                if content is None or not path or not target.startswith(os.path.join(folder, "")):
+                    continue
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                aside = f"{target}.{os.getpid()}.part"
+                with open(aside, "wb") as f:
+                    f.write(content)
+                os.replace(aside, target)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return encoded.select("relative_path", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
