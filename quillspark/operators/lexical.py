@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -48,6 +48,28 @@ def bm25(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> Dat
     return rows.where(hit).join(F.broadcast(stats)).select("id", score.alias("bm25"))  # stats is one row
 
 
+def store_postings(df: DataFrame, id_col: str, text_col: str, path: str) -> None:
+    """Write the inverted file of a text column under ``path``: postings sorted by term, so that a question reads the row
+    groups of its terms only, the lengths of the texts, and one row of statistics."""
+    inverted = df.select(F.col(id_col).alias("id"), F.explode(T.words(text_col)).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    inverted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    df.select(F.col(id_col).alias("id"), F.size(T.words(text_col)).alias("len")).write.parquet(f"{path}/lengths")
+    lengths = df.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avglen")).write.parquet(f"{path}/statistics")
+
+
+def stored_bm25(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame:
+    """``(id, bm25)`` as ``bm25`` gives it, from the inverted file under ``path``: no text is read. Ids must be unique."""
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*dict.fromkeys(terms)))
+    found = materialize(hits, "hits")
+    docs = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the question
+    stats = spark.read.parquet(f"{path}/statistics")
+    rows = found.join(F.broadcast(docs), "term").join(spark.read.parquet(f"{path}/lengths"), "id").join(F.broadcast(stats))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avglen")))
+    return rows.groupBy("id").agg(F.sum(part).alias("bm25"))
+
+
 def holds_share(words: Column, terms: Sequence[str], share: float = SHARE) -> Column:
     """Whether at least ``share`` of the distinct terms (rounded up, one at least) occur in any order."""
     terms = list(dict.fromkeys(terms))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import catalogue as K
 from quillspark.operators import clean as C
 from quillspark.operators import fragment, rules, units
+from quillspark.operators import lexical as L
 from quillspark.operators import publication as P
 from quillspark.operators import search as S
 from quillspark.plans import documents
-from quillspark.shared import table
+from quillspark.shared import materialize, scratch_dir, table
 from quillspark.streaming import state
 
 
@@ -162,13 +165,25 @@ def unit_polarity(spark, d):
     return rules.classify_units(texts).groupBy("identity").agg(F.count("*").alias("pairs"), F.count("label").alias("decided"), F.count_if(F.col("label") == "positive").alias("positive"), F.count_if(F.col("label") == "caution").alias("caution"))
 
 
+def number_invariant(spark, d):
+    """Numbers that cleaning lost unaccounted, of all documents: none."""
+    docs = materialize(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "documents")
+    return C.unaccounted_numbers(docs, materialize(C.clean_documents(docs, "doc_id", "text"), "cleaned"), "doc_id", "text")
+
+
+def stored_bm25(spark, d):
+    path = f"{scratch_dir(spark)}/inverted-{uuid.uuid4().hex}"
+    L.store_postings(table(spark, d, "chunks"), "chunk_id", "text", path)
+    return L.stored_bm25(spark, path, ["acidul", "organic", "durere"]).select(F.col("id").alias("chunk_id"), F.round("bm25", 6).alias("bm25"))
+
+
 def authored_violations(spark, d):
     hits = spark.createDataFrame([(1, 9.0, 1), (2, 8.0, 0), (3, 8.0, 1), (4, 7.0, 0), (5, 1.0, 1)], "chunk_id long, score double, p1 int")
     return S.priority_violations(hits)
 
 
 _NAMES = """catalogue_mentions mention_owners catalogue_lookup sibling_order name_order alias_maps cache_merge packed_requests packed_limits incomplete_decisions event_joins limited_sessions
-authored_credits authored_headers authored_removals authored_violations authored_polarity text_units unit_polarity""".split()
+authored_credits authored_headers authored_removals authored_violations authored_polarity number_invariant stored_bm25 text_units unit_polarity""".split()
 
 
 def queries():
@@ -191,7 +206,11 @@ SELECT * FROM (SELECT chunk_id, condition, CASE WHEN n IS NULL THEN 'missing' WH
         "event_joins": "SELECT p.event_id, count(*) AS clicks, max(c.event_id) AS last_click FROM events p JOIN events c ON c.user_id = p.user_id AND c.ts <= p.ts AND c.ts >= p.ts - INTERVAL 6 HOUR WHERE p.event_type = 'purchase' AND c.event_type = 'click' GROUP BY 1",
         "authored_credits": f"SELECT * FROM (VALUES {values([[(1, 'BIGINT'), (2, 'INTEGER')], [(1, 'BIGINT'), (3, 'INTEGER')]])}) AS t(id, n)",
         "authored_headers": f"SELECT * FROM (VALUES {values([[(1, 'BIGINT'), ('Ghid practic de plante 3', 'VARCHAR'), (4, 'BIGINT')]])}) AS t(id, line, removed)",
-        "authored_removals": f"SELECT * FROM (VALUES {values([[(2, 'BIGINT'), ('phone', 'VARCHAR'), (1, 'BIGINT')], [(2, 'BIGINT'), ('label', 'VARCHAR'), (1, 'BIGINT')], [(3, 'BIGINT'), ('furniture:bibliography', 'VARCHAR'), (1, 'BIGINT')], [(5, 'BIGINT'), ('page_marker', 'VARCHAR'), (1, 'BIGINT')]])}) AS t(id, rule, removals)",
+        "authored_removals": f"SELECT * FROM (VALUES {values([[(1, 'BIGINT'), ('credit', 'VARCHAR'), (2, 'BIGINT')], [(1, 'BIGINT'), ('header', 'VARCHAR'), (4, 'BIGINT')], [(2, 'BIGINT'), ('phone', 'VARCHAR'), (1, 'BIGINT')], [(2, 'BIGINT'), ('label', 'VARCHAR'), (1, 'BIGINT')], [(3, 'BIGINT'), ('furniture:bibliography', 'VARCHAR'), (1, 'BIGINT')], [(5, 'BIGINT'), ('page_marker', 'VARCHAR'), (1, 'BIGINT')]])}) AS t(id, rule, removals)",
+        "number_invariant": "SELECT doc_id AS id, CAST('' AS VARCHAR) AS number, CAST(0 AS BIGINT) AS missing FROM documents WHERE false",
+        "stored_bm25": f"""WITH w AS (SELECT chunk_id, {T.words_sql('text')} AS w FROM chunks), f AS (SELECT chunk_id, len(w) AS len, unnest(['acidul', 'organic', 'durere']) AS term, w FROM w), t AS (SELECT chunk_id, len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM f),
+s AS (SELECT count(*) AS n, avg(len(w)) AS avglen FROM w), d AS (SELECT term, count(*) AS df FROM t WHERE tf > 0 GROUP BY 1)
+SELECT chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))), 6) AS bm25 FROM t JOIN d USING (term), s WHERE tf > 0 GROUP BY 1""",
         "authored_polarity": f"SELECT * FROM (VALUES {values([[(k, 'BIGINT'), (label or 'none', 'VARCHAR'), (code or 'none', 'VARCHAR')] for k, (_, _, _, label, code) in enumerate(POLARITY, 1)])}) AS t(identity, label, code)",
         "authored_violations": f"SELECT * FROM (VALUES {values([[*long(3), (3, 'INTEGER')], [*long(5), (5, 'INTEGER')]])}) AS t(chunk_id, position)",
     }
