@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.lookalike import fold
 from quillspark.shared import materialize
 
-#: Rounds in which the translation tables are learned, each from the alignment of the round before.
-ROUNDS = 4
+#: Rounds in which the translation tables are learned, each from the alignment of the round before, at most; they end when
+#: the number of translations and their sum change by no more than this share.
+ROUNDS, SETTLED = 4, 1e-3
 #: Translations kept of a word, and the least association of one.
 TRANSLATIONS, LEAST_ASSOCIATION = 6, 0.12
 #: Rows of the tables that go to every task; larger tables are joined by word, with the same result.
@@ -149,9 +150,10 @@ def scored_pairs(a: DataFrame, b: DataFrame, table: DataFrame | None) -> DataFra
     back = table.select(F.col("wb").alias("w"), F.col("wa").alias("to"), "t") if table is not None else None
     zero = F.lit(0.0).cast("float")
     forth = translated(a, "a", there).join(postings(b, "b"), ["doc", "w"])
-    forth = forth.select("doc", "pa", "pb", zero.alias("ca"), (F.col("x") * F.col("t")).alias("cb"), zero.alias("shared"), "ata", "atb", "da", "db")
+    part = lambda c: F.col(c) * F.col("t")
+    forth = forth.select("doc", "pa", "pb", zero.alias("ca"), part("x").alias("cb"), zero.alias("shared"), "ata", "atb", "da", "db")
     over = translated(b, "b", back).join(postings(a, "a"), ["doc", "w"])
-    over = over.select("doc", "pa", "pb", (F.col("x") * F.col("t")).alias("ca"), zero.alias("cb"), (F.col("raw") * F.col("t")).alias("shared"), "ata", "atb", "da", "db")
+    over = over.select("doc", "pa", "pb", part("x").alias("ca"), zero.alias("cb"), part("raw").alias("shared"), "ata", "atb", "da", "db")
     rows = forth.unionByName(over)
     if table is None:
         even = F.round(F.col("at") * F.col("tb")).cast("int")
@@ -177,8 +179,9 @@ def learn(pairs: DataFrame, a: DataFrame, b: DataFrame, power: int) -> tuple[Dat
     s = F.pow(F.col("score"), power)
     share = F.sqrt(s / F.sum(s).over(W.partitionBy("doc", "pa")) * s / F.sum(s).over(W.partitionBy("doc", "pb")))
     soft = pairs.where(F.col("score") >= (LEAST_TEACHING if power > 2 else 0.05)).select("doc", "pa", "pb", share.alias("soft")).where(F.col("soft") >= LEAST_SHARE)
-    wa = a.select("doc", F.col("place").alias("pa"), F.col("ws").alias("wa"))
-    wb = b.select("doc", F.col("place").alias("pb"), F.col("ws").alias("wb"))
+    bare = lambda c: F.transform("ws", lambda e: F.struct(e["w"].alias("w"), e["digit"].alias("digit"))).alias(c)
+    wa = a.select("doc", F.col("place").alias("pa"), bare("wa"))
+    wb = b.select("doc", F.col("place").alias("pb"), bare("wb"))
     taught = materialize(soft.join(wa, ["doc", "pa"]).join(wb, ["doc", "pb"]).select("soft", "wa", "wb"), "taught")
     total = taught.agg(F.sum("soft")).first()[0] or 0.0
     word = lambda c: taught.select("soft", F.explode(c).alias("e")).groupBy(F.col("e.w").alias("w")).agg(F.sum("soft").alias("n"))
@@ -211,8 +214,8 @@ def align_sentences(chunks: DataFrame, languages: tuple[str, str] = ("ro", "en")
     the same thing, ``a`` in the first language.
 
     Counterparts are found by path (``counterpart_key``). Translation tables are learned from all pairs of documents in
-    ``rounds`` passes: at first from sentences at like places and with like numbers, then from the alignment of the
-    pass before. Each sentence then finds its best partner in both directions (ties go to the earlier one); pairs that
+    ``rounds`` passes, fewer if they settle before: at first from sentences at like places and with like numbers, then from
+    the alignment of the pass before. Each sentence then finds its best partner in both directions (ties go to the earlier one); pairs that
     choose each other stand, and neighbours of a standing sentence join its partner where they choose it and it covers
     them, so merged and split sentences give several pairs. Sentences without a partner give none; order is only a slight
     preference.
@@ -225,9 +228,14 @@ def align_sentences(chunks: DataFrame, languages: tuple[str, str] = ("ro", "en")
     sentences = materialize(paired_sentences(chunks, languages, id_col, path_col, lang_col, text_col, line_col), "paired")
     placed = placed_sentences(sentences)
     table, known_a, known_b, total = None, None, None, 0.0
+    before = None
     for k in range(rounds):
         a, b = (materialize(weighted(placed, side, known, total), "side") for side, known in ((0, known_a), (1, known_b)))
         table, known_a, known_b, total = learn(scored_pairs(a, b, table), a, b, 8 if k else 2)
+        now = table.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0.0)).alias("t")).first()
+        if k > 1 and abs(now.n - before.n) <= SETTLED * before.n and abs(now.t - before.t) <= SETTLED * before.t:
+            break
+        before = now
     a, b = (materialize(weighted(placed, side, known, total), "side") for side, known in ((0, known_a), (1, known_b)))
     pairs = materialize(scored_pairs(a, b, table).where("score >= 0.1 OR ca >= 0.5 OR cb >= 0.5"), "pairs")
     best = F.max_by(F.struct("pa", "pb", "score", "ca", "cb"), F.struct("score", -F.col("pa"), -F.col("pb")))
