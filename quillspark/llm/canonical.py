@@ -221,6 +221,7 @@ class Dictionary:
             for q in {f, squeezed(f)}:
                 for k in deletes(q, allowed(len(q))):
                     self.words[k].append(f)
+        self.longest = max(map(len, self.squashed), default=0)  # what is longer by more than two letters is no name
         self.whole: dict[str, list[str]] = defaultdict(list)
         for name in self.squashed:
             for k in deletes(name, 2):
@@ -301,7 +302,7 @@ class Dictionary:
         joined = "".join(t for t in ts if t not in self.fillers)
         if len(joined) >= 6:
             most = 1 if len(joined) < 9 else 2
-            near = {f for k in deletes(joined, 2) for f in self.whole.get(k, ())} if len(joined) < 200 else set()
+            near = {f for k in deletes(joined, 2) for f in self.whole.get(k, ())} if len(joined) <= self.longest + 2 else set()
             for f in near:
                 if (d := distance(joined, f, most)) <= most:
                     minus, ref = self.squashed[f]
