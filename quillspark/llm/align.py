@@ -24,6 +24,9 @@ TRANSLATIONS, LEAST_ASSOCIATION = 6, 0.12
 MOST_SHARED = 300_000
 #: Least score of a pair, and least share of a neighbour's content that the other sentence must cover to be merged.
 LEAST_SCORE, LEAST_COVERED = 0.48, 0.6
+#: Sentences of either side in a cell, the unit in which those of a document meet: most documents are one cell, a large
+#: one has as many as its sides need, with the same result.
+CELL = 256
 #: Before anything is learned: places that a sentence's partner may be off the even spread of both sides.
 BAND = 3
 #: Pairs of sentences that teach words: least score, and least share of either one's alignment.
@@ -92,26 +95,28 @@ def said(words: str) -> Column:
 
 
 def placed_sentences(sentences: DataFrame) -> DataFrame:
-    """``(doc, side, said, words, place, total)``: the distinct sentences of each side, numbered in the order of the
-    document. Places are ranks within range partitions plus the sizes of those before, so no document is in one task."""
+    """``(doc, side, said, words, place, total, other)``: the distinct sentences of each side, numbered in the order of the
+    document, with the number of those of its own and of the other side. Places are ranks within range partitions plus the
+    sizes of those before, so no document is in one task."""
     spoken = sentences.where(F.size("words") > 0).withColumn("said", said("words"))
     first = spoken.groupBy("doc", "side", "said").agg(F.min(F.struct(F.coalesce("line", F.lit(1 << 40)).alias("line"), "id", "number")).alias("at"), F.first("words").alias("words"))
     ranged = materialize(first.repartitionByRange("doc", "side", "at").withColumn("part", F.spark_partition_id()), "ranged")
     whole = W.partitionBy("doc", "side")
     sizes = ranged.groupBy("doc", "side", "part").agg(F.count("*").alias("n"))
-    sizes = sizes.select("doc", "side", "part", F.sum("n").over(whole).cast("int").alias("total"), (F.sum("n").over(whole.orderBy("part")) - F.col("n")).cast("int").alias("before"))
+    total = F.sum("n").over(whole)
+    sizes = sizes.select("doc", "side", "part", total.cast("int").alias("total"), (F.sum("n").over(W.partitionBy("doc")) - total).cast("int").alias("other"), (F.sum("n").over(whole.orderBy("part")) - F.col("n")).cast("int").alias("before"))
     place = F.row_number().over(W.partitionBy("doc", "side", "part").orderBy("at")) - 1 + F.col("before")
-    return materialize(ranged.join(sizes, ["doc", "side", "part"]).select("doc", "side", "said", "words", place.cast("int").alias("place"), "total"), "sentences")
+    return materialize(ranged.join(sizes, ["doc", "side", "part"]).select("doc", "side", "said", "words", place.cast("int").alias("place"), "total", "other"), "sentences")
 
 
 def weighted(placed: DataFrame, side: int, known: DataFrame | None, total: float) -> DataFrame:
-    """``(doc, place, at, total, digits, ws array<struct<w, x, digit, long>>)`` of one side: the words of each sentence as
-    64-bit digests with weights ``x`` that sum up to 1; ``at`` is the place as a share of the document, ``digits`` the
-    weight of the numbers before that. Rare words weigh more; before anything is known numbers weigh most."""
+    """``(doc, place, at, other, digits, all, ws array<struct<w, x, digit, long>>)`` of one side: the words of each sentence
+    as 64-bit digests with weights ``x`` that sum up to ``all``; ``at`` is the place as a share of the document, ``digits``
+    the weight of the numbers. Rare words weigh more; before anything is known numbers weigh most."""
     own = placed.where(F.col("side") == side)
-    words = own.select("doc", "place", "total", F.explode("words").alias("word"))
+    words = own.select("doc", "place", "total", "other", F.explode("words").alias("word"))
     digit = F.col("word").rlike("^[0-9]+$")
-    words = words.select("doc", "place", "total", F.xxhash64("word").alias("w"), digit.alias("digit"), (digit | (F.length("word") > 3)).alias("long"))
+    words = words.select("doc", "place", "total", "other", F.xxhash64("word").alias("w"), digit.alias("digit"), (digit | (F.length("word") > 3)).alias("long"))
     if known is None:
         weight = F.when(F.col("digit"), 1.0).otherwise(0.2)
     else:
@@ -119,50 +124,60 @@ def weighted(placed: DataFrame, side: int, known: DataFrame | None, total: float
         told = F.log(1 + total / (1 + F.coalesce("n", F.lit(0.0))))
         weight = F.when(F.col("digit") | F.col("translated"), told).otherwise(0.5 * math.log(1 + total / 2) if total else 1.0)
     words = words.withColumn("x", weight.cast("float"))
-    per = words.groupBy("doc", "place").agg(F.first("total").alias("total"), F.sum("x").alias("all"), F.coalesce(F.sum(F.when(F.col("digit"), F.col("x"))), F.lit(0.0)).alias("digits"), F.collect_list(F.struct("w", "x", "digit", "long")).alias("ws"))
-    return per.select("doc", "place", (F.col("place") / F.col("total")).cast("float").alias("at"), "total", F.col("digits").cast("float").alias("digits"), F.col("all").cast("float").alias("all"), "ws")
-
-
-def postings(side: DataFrame, mark: str) -> DataFrame:
-    """The inverted file of one side: ``(doc, w, p, x, digit, raw, at, digits)``, a row for each word of each sentence."""
-    rows = side.select("doc", F.col("place").alias(f"p{mark}"), F.col("at").alias(f"at{mark}"), F.col("digits").alias(f"d{mark}"), "all", F.explode("ws").alias("e"))
-    return rows.select("doc", F.col("e.w").alias("w"), f"p{mark}", f"at{mark}", f"d{mark}", (F.col("e.x") / F.col("all")).cast("float").alias("x"), F.when(F.col("e.digit"), F.col("e.x")).otherwise(0.0).cast("float").alias("raw"))
-
-
-def translated(side: DataFrame, mark: str, table: DataFrame | None) -> DataFrame:
-    """The weighted bag of words of the other language that each sentence becomes: ``(doc, w, p, t, at, digits)``. Of
-    several words that give one, the best counts. Equal tokens (numbers, names) translate each other."""
-    rows = side.select("doc", F.col("place").alias(f"p{mark}"), F.col("at").alias(f"at{mark}"), F.col("digits").alias(f"d{mark}"), F.explode("ws").alias("e"))
-    rows = rows.select("doc", F.col("e.w").alias("w"), f"p{mark}", f"at{mark}", f"d{mark}", F.col("e.long").alias("long"))
-    info = [f"p{mark}", f"at{mark}", f"d{mark}"]
-    same = rows.select("doc", "w", *info, F.when(F.col("long"), 1.0).otherwise(0.5).cast("float").alias("t"))
-    if table is None:
-        return same
-    to = rows.join(table, "w").select("doc", F.col("to").alias("w"), *info, "t")
-    return same.unionByName(to).repartition("doc", "w").groupBy("doc", "w", *info).agg(F.max("t").alias("t"))
+    per = words.groupBy("doc", "place").agg(F.first("total").alias("total"), F.first("other").alias("other"), F.sum("x").alias("all"), F.coalesce(F.sum(F.when(F.col("digit"), F.col("x"))), F.lit(0.0)).alias("digits"), F.collect_list(F.struct("w", "x", "digit", "long")).alias("ws"))
+    return per.select("doc", "place", (F.col("place") / F.col("total")).cast("float").alias("at"), "other", F.col("digits").cast("float").alias("digits"), F.col("all").cast("float").alias("all"), "ws")
+
+
+def in_cells(sentences: DataFrame) -> DataFrame:
+    """``sentences``, or rows of them, of both sides, in each cell ``(doc, ia, ib)`` where they meet others, all rows of a
+    cell in one task. The number of tasks is stated, since what comes of a cell is many times its sentences."""
+    block = lambda n: (n / CELL).cast("int")
+    own, cell = block(F.col("place")), F.col("cell")
+    rows = sentences.withColumn("cell", F.explode(F.sequence(F.lit(0), block(F.greatest(F.col("other"), F.lit(1)) - 1))))
+    rows = rows.withColumns({"ia": F.when(F.col("side") == 0, own).otherwise(cell), "ib": F.when(F.col("side") == 0, cell).otherwise(own)}).drop("cell")
+    return rows.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "ia", "ib")
+
+
+def entries(sentences: DataFrame, words: DataFrame | None) -> DataFrame:
+    """What each sentence enters into the inverted file: ``near`` and ``w`` say under what, ``x`` is what the word weighs in
+    the sentence, null if that only has a translation of it, ``raw`` the same of numbers before weights are shares, ``t``
+    how much the word counts in the bag that the sentence becomes. Equal tokens (numbers, names) translate each other;
+    ``words`` holds ``(side, w, tos)``. Without it sentences also enter the places around their own (``near``)."""
+    e, zero = F.col("e"), F.lit(0.0).cast("float")
+    entry = lambda near, w, x, raw, t: F.struct(near.alias("near"), w.cast("long").alias("w"), x.cast("float").alias("x"), raw.cast("float").alias("raw"), t.cast("float").alias("t"))
+    own = lambda e: entry(F.lit(False), e["w"], e["x"] / F.col("all"), F.when(e["digit"], e["x"]).otherwise(0.0), F.when(e["long"], 1.0).otherwise(0.5))
+    if words is None:
+        even = F.round(F.col("at") * F.col("other")).cast("int")
+        around = F.when(F.col("side") == 0, F.sequence(even - BAND, even + BAND)).otherwise(F.array("place"))
+        found = sentences.withColumn("e", F.explode(F.concat(F.transform("ws", own), F.transform(around, lambda p: entry(F.lit(True), p, zero, zero, zero)))))
+    else:
+        found = sentences.withColumn("e", F.explode("ws")).withColumn("w", e["w"]).join(words, ["side", "w"], "left")
+        to = F.transform("tos", lambda x: entry(F.lit(False), x["to"], F.lit(None), zero, x["t"]))
+        found = found.withColumn("e", F.explode(F.when(F.col("tos").isNull(), F.array(own(e))).otherwise(F.concat(F.array(own(e)), to))))
+    return found.select(*(c for c in sentences.columns if c not in ("ws", "all")), "e.*")
 
 
 def scored_pairs(a: DataFrame, b: DataFrame, table: DataFrame | None) -> DataFrame:
     """``(doc, pa, pb, ca, cb, score)``: how much of each sentence of ``a`` a sentence of ``b`` covers, the other way, and
-    their score, for all pairs that share a translation. Both directions go through the inverted files: the bag of each
-    sentence meets the sentences of the other side that hold one of its words, and what these weigh is added up."""
-    there = table.select(F.col("wa").alias("w"), F.col("wb").alias("to"), "t") if table is not None else None
-    back = table.select(F.col("wb").alias("w"), F.col("wa").alias("to"), "t") if table is not None else None
-    zero = F.lit(0.0).cast("float")
-    forth = translated(a, "a", there).join(postings(b, "b"), ["doc", "w"])
-    part = lambda c: F.col(c) * F.col("t")
-    forth = forth.select("doc", "pa", "pb", zero.alias("ca"), part("x").alias("cb"), zero.alias("shared"), "ata", "atb", "da", "db")
-    over = translated(b, "b", back).join(postings(a, "a"), ["doc", "w"])
-    over = over.select("doc", "pa", "pb", part("x").alias("ca"), zero.alias("cb"), part("raw").alias("shared"), "ata", "atb", "da", "db")
-    rows = forth.unionByName(over)
+    their score, for all pairs that share a translation. Both directions go through one inverted file: a word has the
+    sentences of either side that hold it or have it in their bag, the bag of each sentence meets those of the other side
+    that hold the word, and what it weighs in these is added up. Sentences, not pairs or words, go to the task of their
+    cell, where all this is done."""
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
     if table is None:
-        even = F.round(F.col("at") * F.col("tb")).cast("int")
-        around = F.explode(F.sequence(even - BAND, even + BAND))
-        near = a.join(b.groupBy("doc").agg(F.max("total").alias("tb")), "doc").select("doc", F.col("place").alias("pa"), F.col("at").alias("ata"), F.col("digits").alias("da"), around.alias("pb"))
-        other = b.select("doc", F.col("place").alias("pb"), F.col("at").alias("atb"), F.col("digits").alias("db"))
-        band = near.join(other, ["doc", "pb"]).select("doc", "pa", "pb", zero.alias("ca"), zero.alias("cb"), zero.alias("shared"), "ata", "atb", "da", "db")
-        rows = rows.unionByName(band)
-    pairs = rows.groupBy("doc", "pa", "pb").agg(*(F.sum(c).alias(c) for c in ("ca", "cb", "shared")), *(F.max(c).alias(c) for c in ("ata", "atb", "da", "db")))
+        rows = entries(in_cells(both), None)
+    else:
+        way = lambda side, w, to: table.select(F.lit(side).alias("side"), F.col(w).alias("w"), F.struct(F.col(to).alias("to"), "t").alias("to"))
+        words = way(0, "wa", "wb").unionByName(way(1, "wb", "wa")).groupBy("side", "w").agg(F.collect_list("to").alias("tos"))
+        rows = entries(in_cells(both), F.broadcast(words)) if table.count() <= MOST_SHARED else in_cells(entries(both, words))
+    # of several words that give one, the best counts
+    rows = rows.groupBy("doc", "ia", "ib", "near", "w", "side", "place").agg(*(F.max(c).alias(c) for c in ("x", "raw", "t")), *(F.first(c).alias(c) for c in ("at", "digits")))
+    holds = F.struct(F.col("place").alias("p"), "x", "raw", "t", "at", "digits")
+    file = rows.groupBy("doc", "ia", "ib", "near", "w").agg(*(F.collect_list(F.when(F.col("side") == side, holds)).alias(c) for side, c in ((0, "a"), (1, "b"))))
+    met = file.where((F.size("a") > 0) & (F.size("b") > 0)).withColumn("a", F.explode("a")).withColumn("b", F.explode("b")).where("a.x IS NOT NULL OR b.x IS NOT NULL")
+    part = lambda c, t: F.coalesce(F.col(c) * F.col(t), F.lit(0.0)).alias(c[2:] + c[0])
+    met = met.select("doc", "ia", "ib", F.col("a.p").alias("pa"), F.col("b.p").alias("pb"), part("a.x", "b.t"), part("b.x", "a.t"), part("a.raw", "b.t"), *(F.col(f"{c}.{k}").alias(k + c) for c in "ab" for k in ("at", "digits")))
+    pairs = met.groupBy("doc", "ia", "ib", "pa", "pb").agg(F.sum("xa").alias("ca"), F.sum("xb").alias("cb"), F.sum("rawa").alias("shared"), *(F.first(f"{k}{c}").alias(n + c) for c in "ab" for k, n in (("at", "at"), ("digits", "d"))))
     apart = F.col("ata") - F.col("atb")
     bonus = 0.03 * F.exp(-F.pow(apart / 0.1, 2)) if table is not None else F.exp(-F.pow(apart / 0.08, 2))
     # sentences made alike whose numbers differ, the rare ones above all, say different things
@@ -196,7 +211,7 @@ def learn(pairs: DataFrame, a: DataFrame, b: DataFrame, power: int) -> tuple[Dat
     best = F.greatest(F.col("s") / F.max("s").over(of_a), F.col("s") / F.max("s").over(of_b))
     table = materialize(ranked.select("wa", "wb", (best * F.least(F.lit(1.0), 0.4 + F.col("s"))).cast("float").alias("t")), "translations")
     known = lambda n, c: n.join(table.select(F.col(c).alias("w")).distinct().withColumn("translated", F.lit(True)), "w", "left").select("w", "n", F.coalesce("translated", F.lit(False)).alias("translated"))
-    return F.broadcast(table) if table.count() <= MOST_SHARED else table, known(na, "wa"), known(nb, "wb"), float(total)
+    return table, known(na, "wa"), known(nb, "wb"), float(total)
 
 
 def grown(choices: DataFrame, at: str, partner: str, core: DataFrame) -> DataFrame:
@@ -222,8 +237,8 @@ def align_sentences(chunks: DataFrame, languages: tuple[str, str] = ("ro", "en")
 
     A sentence that stands in several chunks of its document (copies, older versions) counts once in the alignment and
     gives a pair for each place. Rows with a null path, text or language, and documents without a counterpart, give
-    nothing; with no pair of documents the result is empty. Everything is joined by document and word or by document and
-    sentence, so a document that holds a third of all rows is spread over many tasks.
+    nothing; with no pair of documents the result is empty. Everything is joined by document and sentence or by cell of a
+    document, so a document that holds a third of all rows is spread over many tasks.
     """
     sentences = materialize(paired_sentences(chunks, languages, id_col, path_col, lang_col, text_col, line_col), "paired")
     placed = placed_sentences(sentences)

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import align, canonical, encode, leak, lookalike, ocr, permindex, split, subjects
+from quillspark.shared import materialize
 
 TEXT = st.text(alphabet="ab ăș,.\n\r\t'12", max_size=600)
 
@@ -474,6 +475,69 @@ def test_places_are_numbered_across_partitions(spark):
             assert [w for _, w in mine] == [f"x{k}" for k in sorted(range(50), key=lambda k: k * 7 % 50)]
 
 
+def _sides(spark, documents, sentences):
+    """Both sides of documents whose sentences have many words in common, and a table of translations."""
+    rng = random.Random(5)
+    rows = [(d, side, k, 1, [f"{side}w{rng.randrange(12)}" for _ in range(9)] + [str(k % 7), f"{side}s{d}x{k}"]) for d in range(documents) for side in (0, 1) for k in range(sentences)]
+    df = spark.createDataFrame(rows, "doc long, side int, id long, number long, words array<string>").withColumn("line", F.lit(None).cast("long"))
+    placed = align.placed_sentences(df.withColumn("words", F.array_distinct("words")))
+    known = [(f"0w{k}", f"1w{j % 12}", 1.0 - 0.25 * (j - k)) for k in range(12) for j in (k, k + 1)]
+    table = spark.createDataFrame(known, "wa string, wb string, t double").select(F.xxhash64("wa").alias("wa"), F.xxhash64("wb").alias("wb"), F.col("t").cast("float").alias("t"))
+    return [materialize(align.weighted(placed, side, None, 0.0), "side") for side in (0, 1)], table
+
+
+def _shuffled_rows(df):
+    """Rows that the shuffles of ``df`` wrote when it was collected."""
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_sentences_and_not_their_words_or_pairs_are_shuffled(spark, learned):
+    (a, b), table = _sides(spark, 40, 10)
+    pairs = align.scored_pairs(a, b, table if learned else None)
+    assert len(pairs.collect()) > 40 * 50
+    assert _shuffled_rows(pairs) <= 2 * 40 * 10 + 100  # each sentence once, and the words of the table
+
+
+@pytest.mark.parametrize("learned, shared", [(False, 300_000), (True, 300_000), (True, -1)])
+def test_a_document_of_many_cells_gives_the_same_pairs(spark, monkeypatch, learned, shared):
+    (a, b), table = _sides(spark, 2, 23)
+    rows = lambda: align.scored_pairs(a, b, table if learned else None).collect()
+    scores = lambda rows: {(r.doc, r.pa, r.pb): (r.ca, r.cb, r.score) for r in rows}
+    whole = scores(rows())
+    monkeypatch.setattr(align, "MOST_SHARED", shared)
+    monkeypatch.setattr(align, "CELL", 4)
+    split = rows()
+    cells = scores(split)
+    assert len(split) == len(cells) and cells.keys() == whole.keys()
+    assert all(cells[k] == pytest.approx(whole[k], abs=1e-6) for k in whole)
+    words = {side: {r.place: r for r in x.collect()} for side, x in ((0, a.where("doc = 0")), (1, b.where("doc = 0")))}
+    best = {(r.wa, r.wb): r.t for r in table.collect()} if learned else {}
+    for pa in (0, 9, 22):
+        for pb in range(23):
+            x, y = words[0][pa], words[1][pb]
+            t = lambda u, v: (1.0 if u.long else 0.5) if u.w == v.w else best.get((u.w, v.w), 0.0)
+            cb = sum(v.x / y["all"] * max(t(u, v) for u in x.ws) for v in y.ws)
+            ca = sum(u.x / x["all"] * max(t(u, v) for v in y.ws) for u in x.ws)
+            digits = sum(u.x * max(t(u, v) for v in y.ws) for u in x.ws if u.digit)
+            trust = 0.3 if min(x.digits, y.digits) > 0 and digits < 0.4 * min(x.digits, y.digits) else 1.0
+            got = whole.get((0, pa, pb), (0.0, 0.0, 0.0))
+            assert got[:2] == pytest.approx((ca * trust, cb * trust), abs=1e-5)
+
+
 def test_sentences_are_counted_as_stated():
     assert align.split_sentences("Unu. Doi!  Trei?\n3.5 g. fără") == [(1, "Unu."), (2, "Doi!"), (3, "Trei?"), (4, "3.5 g."), (5, "fără")] and align.split_sentences("") == [] and align.split_sentences(" ") == []
 
